@@ -42,3 +42,12 @@ def words(text: Column) -> Column:
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n: the folds of labelled rows."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")), F.lit(0)) % n
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write the rows into the shared folder in buckets of a key; joins on it then need no shuffle of them."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)

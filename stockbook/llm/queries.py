@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL."""
 
-from stockbook.llm import mixing, quality_rules
+from stockbook.llm import mixing, near_dedup, quality_rules
 
 QUERIES = {
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
