@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL."""
 
-from stockbook.llm import media, mixing, near_dedup, quality_rules
+from stockbook.llm import html_text, media, mixing, near_dedup, quality_rules
 
 QUERIES = {
+    "op5_html_text": html_text.op5_html_text,
     "op7_media": media.op7_media,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op6_mixing": mixing.op6_mixing,
