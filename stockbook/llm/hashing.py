@@ -67,15 +67,7 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and for each text the number of words before it (len + 1 numbers)."""
-    solid = np.zeros(len(data) + 2, bool)
-    solid[1:-1] = ~BLANK[data]
-    first, last = solid[1:-1] & ~solid[:-2], solid[1:-1] & ~solid[2:]
-    edge = offsets[1:-1]
-    edge = edge[(edge > 0) & (edge < len(data))]
-    first[edge] = solid[1 + edge]
-    last[edge - 1] = solid[edge]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return start, end, np.searchsorted(start, offsets)
+    return _spans(~BLANK[data], offsets)
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -87,3 +79,34 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """A 64-bit hash of each word and the number of words before each text."""
     start, end, before = word_spans(data, offsets)
     return span_hashes(prefix_sums(data), start, end), before
+
+
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def letter_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_spans, for runs of letters (ASCII letters and all bytes of other characters)."""
+    return _spans(LETTER[data], offsets)
+
+
+def token_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_spans, for tokens: runs of letters and digits, and every other visible byte by itself."""
+    digit = (data >= 48) & (data <= 57)
+    start, end, _ = _spans(LETTER[data] | digit, offsets)
+    mark = np.flatnonzero(~LETTER[data] & ~digit & ~BLANK[data])
+    order = np.argsort(np.concatenate([start, mark]), kind="stable")
+    start, end = np.concatenate([start, mark])[order], np.concatenate([end, mark + 1])[order]
+    return start, end, np.searchsorted(start, offsets)
+
+
+def _spans(solid_: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    solid = np.zeros(len(solid_) + 2, bool)
+    solid[1:-1] = solid_
+    first, last = solid[1:-1] & ~solid[:-2], solid[1:-1] & ~solid[2:]
+    edge = offsets[1:-1]
+    edge = edge[(edge > 0) & (edge < len(solid_))]
+    first[edge] = solid[1 + edge]
+    last[edge - 1] = solid[edge]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return start, end, np.searchsorted(start, offsets)

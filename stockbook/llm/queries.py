@@ -1,8 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from stockbook.llm import html_text, media, mixing, near_dedup, quality_rules
+from stockbook.llm import html_text, media, mixing, near_dedup, quality_classifier, quality_rules, toxicity
 
 QUERIES = {
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
+    "op10_toxicity": toxicity.op10_toxicity,
     "op5_html_text": html_text.op5_html_text,
     "op7_media": media.op7_media,
     "op4_near_dedup": near_dedup.op4_near_dedup,
