@@ -28,8 +28,8 @@ from stockbook.llm.quality_classifier import labelled
 
 # Words of abuse.
 LEXICON = (
-    "clown crap cretin damn disgusting dumb fool freak garbage hate hideous idiot idiotic imbecile jerk kill lame liar loser losers lowlife "
-    "moron moronic pathetic pig scum scumbag shut stupid stupidity sucker swine trash ugly useless vermin vile worthless"
+    "clown crap cretin damn disgusting dumb fool freak garbage hideous idiot idiotic imbecile jerk liar loser losers lowlife "
+    "moron moronic pathetic pig scum scumbag shut stupid stupidity sucker swine trash ugly useless vermin worthless"
 ).split()
 LEXICON_VOTERS, STEM_VOTERS, STEMS = 8, 16, 64
 PATTERNS = 6
