@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL."""
 
-from stockbook.llm import html_text, media, mixing, near_dedup, quality_classifier, quality_rules, toxicity
+from stockbook.llm import html_text, media, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_toxicity": toxicity.op10_toxicity,
     "op5_html_text": html_text.op5_html_text,
