@@ -30,7 +30,7 @@ def settle(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet into the shared folder and read them back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,5 +49,5 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     name = f"bucketed_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    df.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)

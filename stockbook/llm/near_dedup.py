@@ -5,7 +5,9 @@ class, so copies meet in an aggregation and are never paired. Each class gets BU
 the smallest hash in a bucket, the position of its leading one and the next ten bits (HyperMinHash).
 Runs of `rows` registers form bands; classes that share a band are candidates. Within a band all meet
 the band's smallest class first (a star, linear in the band); what these links leave in different
-components is then paired across components, so no candidate is left out. The corrected estimate drops
+components is then paired across components, so no candidate is left out. Before any pair is made, the
+shingles that only one class has are counted: they bound its similarity to all others, exactly, so a class
+or pair whose bound is below the threshold makes no pairs. The corrected estimate drops
 candidates whose similarity lies six standard errors below the threshold; the rest is decided on the
 full sets, built from the whole texts.
 
@@ -98,9 +100,12 @@ def read_sets(n: int):
 def read_registers(n: int, rows: int):
     def run(batches):
         for batch in batches:
-            regs = [registers(s) for s in shingle_sets(batch.column("text"), n)]
+            counts, regs = [], []
+            for s in shingle_sets(batch.column("text"), n):
+                counts.append(len(s))
+                regs.append(registers(s))
             yield pa.record_batch(
-                [batch.column("class"), batch.column("n_shingles"), pa.array([band_keys(r, rows) for r in regs], pa.list_(pa.int64())), pa.array([r.tobytes() for r in regs], pa.binary())],
+                [batch.column("class"), pa.array(counts, pa.int64()), pa.array([band_keys(r, rows) for r in regs], pa.list_(pa.int64())), pa.array([r.tobytes() for r in regs], pa.binary())],
                 names=["class", "n_shingles", "bands", "registers"],
             )
 
@@ -161,24 +166,54 @@ def candidates(pairs: DataFrame, classes: DataFrame, marks: DataFrame, n: int, p
     return settle(texts.select("a", "b", "text_a", "text_b").mapInArrow(verified(n, percent), "a long, b long"))
 
 
+def emit_shingles(n: int):
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sets = [s.view(np.int64) for s in shingle_sets(part.column("text"), n)]
+                yield pa.record_batch([part.column("class"), pa.array(sets, pa.list_(pa.int64()))], names=["class", "hashes"])
+
+    return run
+
+
+def common_sizes(classes: DataFrame, shared: DataFrame, n: int) -> DataFrame:
+    """(class, common): how many shingles of a class stand in another class that shares bands as well.
+
+    No similarity can exceed what these allow: an exact bound, known before any pair is made.
+    """
+    sharers = shared.select("class").distinct()
+    listed = classes.join(sharers, "class").select("class", "text").mapInArrow(emit_shingles(n), "class long, hashes array<long>")
+    counted = listed.select("class", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("many"), F.min("class").alias("class"))
+    lonely = counted.where("many = 1").groupBy("class").agg(F.count(F.lit(1)).alias("lonely"))
+    sized = shared.select("class", "n").distinct().join(lonely, "class", "left")
+    return sized.select("class", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("common"))
+
+
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
     rows = 7 if percent >= 85 else 6
-    fits = F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")
+    both = F.least("common_a", "common_b")
+    fits = 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
     read = docs.select("doc_id", "text").mapInArrow(read_sets(n), "doc_id long, text string, n_shingles long, class long")
     own = settle(read.drop("text"))
-    classes = bucketed(read.where("class is not null").groupBy("class").agg(F.first("text").alias("text"), F.first("n_shingles").alias("n_shingles")), "class")
+    classes = bucketed(read.where("class is not null").groupBy("class").agg(F.first("text").alias("text")), "class")
     marks = bucketed(classes.mapInArrow(read_registers(n, rows), "class long, n_shingles long, bands array<long>, registers binary"), "class")
     banded = marks.select(F.explode("bands").alias("band"), "class", F.col("n_shingles").cast("int").alias("n"))
-    hubs = banded.groupBy("band").agg(F.min(F.struct("class", "n")).alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    shared = settle(banded.join(hubs.drop("many"), "band").select("band", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("hub.class").alias("a"), F.col("hub.n").alias("n_a")))
-    stars = shared.where("a <> b").where(fits).select("a", "b").distinct()
-    links = candidates(stars, classes, marks, n, percent)
+    crowds = banded.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("band")
+    met = settle(banded.join(crowds, "band"))
+    able = settle(common_sizes(classes, met, n))
+    shared = settle(met.join(able, "class").where(F.col("common") * 100 >= percent * F.col("n")))
+    hubs = shared.groupBy("band").agg(F.min(F.struct("class", "n", "common")).alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    starred = shared.join(hubs, "band").select(
+        "band", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("common").alias("common_b"), F.col("hub.class").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.common").alias("common_a")
+    )
+    links = candidates(starred.where("a <> b").where(fits).select("a", "b").distinct(), classes, marks, n, percent)
     part = components(links)
-    placed = shared.join(part, shared.b == part.node, "left").select("band", F.col("a").alias("hub"), "b", "n_b", F.coalesce("component", "b").alias("part"))
+    placed = starred.join(part, starred.b == part.node, "left").select("band", F.col("a").alias("hub"), "b", "n_b", "common_b", F.coalesce("component", "b").alias("part"))
     mixed_bands = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("band")
     open_rows = settle(placed.where("b <> hub").join(mixed_bands, "band"))
-    left = open_rows.select("band", F.col("b").alias("a"), F.col("n_b").alias("n_a"), F.col("part").alias("part_a"))
+    left = open_rows.select("band", F.col("b").alias("a"), F.col("n_b").alias("n_a"), F.col("common_b").alias("common_a"), F.col("part").alias("part_a"))
     crossed = left.join(open_rows, "band").where("a < b and part_a <> part").where(fits).select("a", "b").distinct()
     more = candidates(crossed, classes, marks, n, percent)
     part = components(links.union(more))
