@@ -1,8 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from stockbook.llm import html_text, media, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity
+from stockbook.llm import html_text, lm_scoring, media, mixing, near_dedup, pieces, quality_classifier, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1_lm_scoring,
+    "op3_pieces": pieces.op3_pieces,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_toxicity": toxicity.op10_toxicity,

@@ -254,6 +254,21 @@ def strip(length: int):
     return run
 
 
+def decoded(batches):
+    """kept as text: a character that was cut in two is left out."""
+    for batch in batches:
+        texts = [k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()]
+        yield pa.record_batch([batch.column("key"), pa.array(texts, pa.string())], names=["key", "text"])
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs (text, any other columns) with each text cut to what stands nowhere else; the order of columns stays."""
+    names = [F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns) if c != "text"]
+    texts = stripped_texts(docs, length).mapInArrow(decoded, "key long, text string")
+    out = docs.select(*names, text_key().alias("key")).join(texts, "key")
+    return out.select(*[F.col("text" if c == "text" else f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def stripped_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """For each distinct text: key (text_key), n_bytes, n_removed, n_spans and kept, the bytes that stay."""
     keyed = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
