@@ -5,8 +5,8 @@ class, so copies meet in an aggregation and are never paired. Each class gets BU
 the smallest hash in a bucket, the position of its leading one and the next ten bits (HyperMinHash).
 Runs of `rows` registers form bands; classes that share a band are candidates. Within a band all meet
 the band's smallest class first (a star, linear in the band); what these links leave in different
-components is then paired across components, so no candidate is left out. Before any pair is made, the
-shingles that only one class has are counted: they bound its similarity to all others, exactly, so a class
+components is then paired across components by their rarest shingles, so no candidate is left out. Before
+any pair is made, the shingles that only one class has are counted: they bound its similarity to all others, exactly, so a class
 or pair whose bound is below the threshold makes no pairs. The corrected estimate drops
 candidates whose similarity lies six standard errors below the threshold; the rest is decided on the
 full sets, built from the whole texts.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockbook.llm.common import bucketed, settle, table
@@ -190,6 +190,32 @@ def common_sizes(classes: DataFrame, shared: DataFrame, n: int) -> DataFrame:
     return sized.select("class", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("common"))
 
 
+def prefix_pairs(classes: DataFrame, open_: DataFrame, n: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of open classes (class, n, part) of different parts that may still be similar enough.
+
+    Shingles are ordered from rare to frequent. Similar sets share one of the first floor(size * (100 - percent) / 100) + 1
+    of either, and what follows the first shared one bounds what they can share: both hold without
+    exception. Copies of one text share their frequent shingles, but those of different parts differ in rare
+    ones, so few pairs are made; pairs inside a shingle's largest part aren't visited at all.
+    """
+    texts = classes.join(open_.select("class"), "class").select("class", "text")
+    listed = texts.mapInArrow(emit_shingles(n), "class long, hashes array<long>")
+    tokens = settle(listed.select("class", F.explode("hashes").alias("hash")))
+    frequent = tokens.groupBy("hash").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    own = Window.partitionBy("class")
+    met = tokens.join(frequent, "hash").join(open_, "class").withColumn("lonely", F.col("n") - F.count(F.lit(1)).over(own))
+    ranked = met.withColumn("rank", F.row_number().over(own.orderBy("many", "hash")) + F.col("lonely"))
+    first = settle(ranked.where(F.col("rank") <= F.floor(F.col("n") * (100 - percent) / 100) + 1).select("hash", "class", "n", "part", "rank"))
+    sizes = first.groupBy("hash", "part").agg(F.count(F.lit(1)).alias("many"))
+    split = settle(sizes.groupBy("hash").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"))
+    right = first.join(split, "hash").select("hash", "main", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"), F.col("rank").alias("rank_b"))
+    left = first.join(split, "hash").where("part <> main").select("hash", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"), F.col("rank").alias("rank_a"))
+    most = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) + 1
+    fits = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+    pairs = left.join(right, "hash").where("part_a <> part_b and (part_b = main or a < b)").where(fits)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
     rows = 7 if percent >= 85 else 6
@@ -210,11 +236,10 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     )
     links = candidates(starred.where("a <> b").where(fits).select("a", "b").distinct(), classes, marks, n, percent)
     part = components(links)
-    placed = starred.join(part, starred.b == part.node, "left").select("band", F.col("a").alias("hub"), "b", "n_b", "common_b", F.coalesce("component", "b").alias("part"))
+    placed = starred.join(part, starred.b == part.node, "left").select("band", F.col("b").alias("class"), F.col("n_b").alias("n"), F.coalesce("component", "b").alias("part"))
     mixed_bands = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("band")
-    open_rows = settle(placed.where("b <> hub").join(mixed_bands, "band"))
-    left = open_rows.select("band", F.col("b").alias("a"), F.col("n_b").alias("n_a"), F.col("common_b").alias("common_a"), F.col("part").alias("part_a"))
-    crossed = left.join(open_rows, "band").where("a < b and part_a <> part").where(fits).select("a", "b").distinct()
+    open_ = settle(placed.join(mixed_bands, "band").select("class", "n", "part").distinct())
+    crossed = prefix_pairs(classes, open_, n, percent)
     more = candidates(crossed, classes, marks, n, percent)
     part = components(links.union(more))
     least = own.groupBy("class").agg(F.min("doc_id").alias("least")).where("class is not null")
