@@ -51,3 +51,8 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
+
+
+def lean_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows per Arrow batch: with texts of some kilobytes, 10000 of them cost each worker many times their size."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockbook.llm.common import crc_mod, settle, table
+from stockbook.llm.common import crc_mod, lean_batches, settle, table
 from stockbook.llm.hashing import U, blocks, letter_spans, lowered, prefix_sums, span_hashes, views
 from stockbook.llm.network import adam, sigmoid
 from stockbook.llm.quality_classifier import labelled
@@ -121,8 +121,11 @@ def mined_stems(docs: DataFrame, rows: DataFrame) -> tuple[np.ndarray, np.ndarra
                 key = np.concatenate([p[0] for p in parts])
                 doc = np.concatenate([r.doc[p[1]] for p in parts]) + done
                 done += len(r.count)
-                both = np.unique(np.rec.fromarrays([key, doc], names="k,d"))
-                yield pa.record_batch([pa.array(both.k.view(np.int64)), pa.array(y[both.d], pa.int32())], names=["stem", "y"])
+                order = np.lexsort((key, doc))
+                key, doc = key[order], doc[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                yield pa.record_batch([pa.array(key[new].view(np.int64)), pa.array(y[doc[new]], pa.int32())], names=["stem", "y"])
 
     base = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
     if not base[0] or not base[1] or base[1] == base[0]:
@@ -268,6 +271,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    lean_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = score_toxicity(docs, labels.where(crc_mod(F.col("doc_id"), 4) != 2))
     held = crc_mod(F.col("doc_id"), 4) == 2
