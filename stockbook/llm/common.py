@@ -26,10 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def settle(df: DataFrame) -> DataFrame:
+#: (table name or '', path) of what settle and bucketed have written and nobody has cleared.
+_SCRATCH: list[tuple[str, str]] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables. For callers whose results so far are written elsewhere: the frames that read
+    scratch tables can't be used afterwards."""
+    while _SCRATCH:
+        name, path = _SCRATCH.pop()
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settle(df: DataFrame, scratch: bool = True) -> DataFrame:
     """Write the rows as Parquet into the shared folder and read them back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    if scratch:
+        _SCRATCH.append(("", path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -49,7 +66,9 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     name = f"bucketed_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name}"
+    _SCRATCH.append((name, path))
+    df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
