@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -26,15 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-#: (table name or '', path) of what settle and bucketed have written and nobody has cleared.
-_SCRATCH: list[tuple[str, str]] = []
+#: By owner, (table name or '', path) of what settle and bucketed have written and nobody has cleared.
+_SCRATCH: dict[str, list[tuple[str, str]]] = {}
+_OWNER = [""]
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete all scratch tables. For callers whose results so far are written elsewhere: the frames that read
-    scratch tables can't be used afterwards."""
-    while _SCRATCH:
-        name, path = _SCRATCH.pop()
+@contextlib.contextmanager
+def scratch_of(owner: str):
+    """Scratch tables written meanwhile belong to this owner."""
+    _OWNER.append(owner)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
+
+
+def clear_scratch(spark: SparkSession, owner: str) -> None:
+    """Delete an owner's scratch tables. For owners whose results so far are written elsewhere: the frames that
+    read these tables can't be used afterwards."""
+    for name, path in _SCRATCH.pop(owner, []):
         if name:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -46,7 +57,7 @@ def settle(df: DataFrame, scratch: bool = True) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     if scratch:
-        _SCRATCH.append(("", path))
+        _SCRATCH.setdefault(_OWNER[-1], []).append(("", path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -67,7 +78,7 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     name = f"bucketed_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark)}/{name}"
-    _SCRATCH.append((name, path))
+    _SCRATCH.setdefault(_OWNER[-1], []).append((name, path))
     df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
 
