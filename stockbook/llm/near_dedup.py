@@ -34,6 +34,7 @@ from stockbook.llm.hashing import U, blocks, lowered, mixed, views, word_hashes
 
 BUCKETS = 336
 MANTISSA = 10
+LEAD = 4
 _SALT = mixed(np.arange(1, 65, dtype=U))
 
 
@@ -195,7 +196,7 @@ def prefix_pairs(classes: DataFrame, open_: DataFrame, n: int, percent: int) ->
 
     Shingles are ordered from rare to frequent. Similar sets share one of the first floor(size * (100 - percent) / 100) + 1
     of either, and what follows the first shared one bounds what they can share: both hold without
-    exception. Copies of one text share their frequent shingles, but those of different parts differ in rare
+    exception, as does what they share of the first LEAD times as many and all that follows. Copies of one text share their frequent shingles, but those of different parts differ in rare
     ones, so few pairs are made; pairs inside a shingle's largest part aren't visited at all.
     """
     texts = classes.join(open_.select("class"), "class").select("class", "text")
@@ -205,14 +206,25 @@ def prefix_pairs(classes: DataFrame, open_: DataFrame, n: int, percent: int) ->
     own = Window.partitionBy("class")
     met = tokens.join(frequent, "hash").join(open_, "class").withColumn("lonely", F.col("n") - F.count(F.lit(1)).over(own))
     ranked = met.withColumn("rank", F.row_number().over(own.orderBy("many", "hash")) + F.col("lonely"))
-    first = settle(ranked.where(F.col("rank") <= F.floor(F.col("n") * (100 - percent) / 100) + 1).select("hash", "class", "n", "part", "rank"))
+    reach = F.floor(F.col("n") * (100 - percent) / 100) + 1
+    near = ranked.withColumn("reach", reach).where(F.col("rank") <= LEAD * F.col("reach"))
+    codes = F.array_sort(F.collect_list(F.shiftright("hash", 32).cast("int")))
+    lead = near.groupBy("class").agg(codes.alias("lead"))
+    first = settle(near.where("rank <= reach").select("hash", "class", "n", "part", "rank", "reach").join(lead, "class"))
     sizes = first.groupBy("hash", "part").agg(F.count(F.lit(1)).alias("many"))
     split = settle(sizes.groupBy("hash").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"))
-    right = first.join(split, "hash").select("hash", "main", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"), F.col("rank").alias("rank_b"))
-    left = first.join(split, "hash").where("part <> main").select("hash", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"), F.col("rank").alias("rank_a"))
-    most = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) + 1
-    fits = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
-    pairs = left.join(right, "hash").where("part_a <> part_b and (part_b = main or a < b)").where(fits)
+    side = lambda x: [F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "part", "rank", "reach", "lead")]]
+    right = first.join(split, "hash").select("hash", "main", *side("b"))
+    left = first.join(split, "hash").where("part <> main").select("hash", *side("a"))
+
+    def enough(most):
+        return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+
+    by_place = enough(F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) + 1)
+    behind = lambda x: F.greatest(F.col(f"n_{x}") - LEAD * F.col(f"reach_{x}"), F.lit(0))
+    again = F.size("lead_a") - F.size(F.array_distinct("lead_a"))  # codes of 32 bits may coincide
+    by_lead = enough(F.size(F.array_intersect("lead_a", "lead_b")) + again + F.greatest(behind("a"), behind("b")))
+    pairs = left.join(right, "hash").where("part_a <> part_b and (part_b = main or a < b)").where(by_place).where(by_lead)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
