@@ -30,7 +30,7 @@ from stockbook.llm.common import settle, table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEFT_OUT = frozenset("nav footer aside form script style noscript template iframe svg canvas object button select textarea dialog menu head title".split())
 CONTAINERS = frozenset("body article main section div td".split())
-BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote table thead tbody tr th caption figure figcaption address details summary header hr html center fieldset hgroup".split())
+BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote table thead tbody tr th caption figure figcaption address details summary header hr html center fieldset hgroup nav aside footer form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 BAD_NAMES = re.compile(
     r"(?<![a-z])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|topbar|footer|sidebar|side|aside|rail|cookies?|consent|gdpr|notice|banner|alert|popup|modal|overlay|"
@@ -67,7 +67,7 @@ class Page(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.end_block()
-            self.pop_to({"p"}, BLOCKS - {"p"})
+            self.pop_to({"p"}, (BLOCKS | LEFT_OUT) - {"p"})
             if tag in CLOSES:
                 self.pop_to(CLOSES[tag], STOPS[tag])
         if tag in VOID:

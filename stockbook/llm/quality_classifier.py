@@ -119,7 +119,7 @@ def sample_features(docs: DataFrame, vectors, rows: DataFrame) -> tuple[np.ndarr
 
     own = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").mapInArrow(run, "doc_id long, y int, x array<double>")
     found = sorted(own.collect(), key=lambda r: (r["doc_id"], r["x"]))
-    return np.array([r["x"] for r in found]).reshape(len(found), -1), np.array([r["y"] for r in found], float)
+    return np.array([r["x"] for r in found]).reshape(len(found), 2 * DIMS + 1), np.array([r["y"] for r in found], float)
 
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> dict:

@@ -1,7 +1,7 @@
 """Exact removal of repeated strings by prefix-free parsing and suffix arrays.
 
 Every text is parsed into phrases at triggers: a trigger is the place with the smallest rolling hash
-among all strings of GRAM bytes in some window of `length` bytes (leftmost on ties), so equal windows
+among all strings of `gram` bytes in some window of `length` bytes (leftmost on ties), so equal windows
 hold equal triggers at equal places. A phrase is the union of the windows that share a trigger; phrases
 overlap by length - 1 bytes, and each window lies in one phrase (the parse is free of prefixes: no
 window belongs to two phrases of a text). The dictionary is the set of distinct phrases.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from stockbook.llm.common import bucketed, settle, table
 from stockbook.llm.hashing import BYTES, U, blocks, mixed, powers, prefix_sums, views
 
-LENGTH, GRAM, CROWD = 400, 200, 500
+LENGTH, CROWD = 400, 500
 
 
 def span_keys(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -204,7 +204,7 @@ def hash_windows(length: int):
     return run
 
 
-def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+def repeats(texts: DataFrame, length: int = LENGTH, gram: int = LENGTH // 2, crowd: int = CROWD) -> DataFrame:
     """(key, at, many): runs of `many` windows from byte `at` whose strings stand elsewhere as well, for
     texts (key, text, copies) with one copy."""
     parsed = settle(texts.mapInArrow(parse_texts(length, gram), "gram long, phrase long, key long, at int, many int, weight int"))
@@ -264,12 +264,12 @@ def decoded(batches):
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs (text, any other columns) with each text cut to what stands nowhere else; the order of columns stays."""
     names = [F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns) if c != "text"]
-    texts = stripped_texts(docs, length).mapInArrow(decoded, "key long, text string")
+    texts = stripped_texts(docs, length, length // 2).mapInArrow(decoded, "key long, text string")
     out = docs.select(*names, text_key().alias("key")).join(texts, "key")
     return out.select(*[F.col("text" if c == "text" else f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def stripped_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+def stripped_texts(docs: DataFrame, length: int = LENGTH, gram: int = LENGTH // 2, crowd: int = CROWD) -> DataFrame:
     """For each distinct text: key (text_key), n_bytes, n_removed, n_spans and kept, the bytes that stay."""
     keyed = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     texts = bucketed(keyed.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "key")
