@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U = np.uint64
 
@@ -51,7 +52,7 @@ def siphash13(texts: list[bytes]) -> np.ndarray:
     return v[0] ^ v[1] ^ v[2] ^ v[3]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _digest(purl: pd.Series, salt: pd.Series) -> pd.Series:
     keys = siphash13([f"{p or ''}".encode() + b"\xff" + f"{s or ''}".encode() + b"\xff" for p, s in zip(purl, salt, strict=True)])
     return pd.Series([f"{int(k):016x}" for k in keys])
