@@ -83,6 +83,7 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     return spark.table(name)
 
 
-def lean_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows per Arrow batch: with texts of some kilobytes, 10000 of them cost each worker many times their size."""
+def lean_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Fewer rows and bytes per Arrow batch: texts in one batch cost each worker many times their size."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
