@@ -1,9 +1,9 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its labels.
 
 Voters vote 1 (toxic), -1 (clean) or abstain on a whole text. Lexicon voters look for words of a fixed
-list, stem voters for word beginnings that stand out in toxic documents among the labelled rows the
-caller lets it learn from (at most LABELLED, those first by md5 of doc_id), pattern voters for shouting,
-runs of marks and several hits, and three voters for the lack of hits. The vote patterns of all documents are
+list, stem voters for word beginnings of every length in letters, and whole words, whose density in a text
+tells toxic from clean among the labelled rows the caller lets it learn from (at most LABELLED, those first by
+md5 of doc_id), pattern voters for shouting, runs of marks and several hits, and three voters for the lack of hits. The vote patterns of all documents are
 counted in Spark. EM over these counts estimates the prior and each voter's rates given either class; what
 pairs of voters share beyond that are their correlations, and a voter's evidence is divided by one plus its
 positive correlations. A logistic classifier on votes and hashed letter runs is then trained on the posterior
@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockbook.llm.common import crc_mod, lean_batches, settle, table
-from stockbook.llm.hashing import U, blocks, letter_spans, lowered, prefix_sums, span_hashes, views
+from stockbook.llm.hashing import LETTER, U, blocks, letter_spans, lowered, mixed, prefix_sums, span_hashes, views
 from stockbook.llm.network import adam, sigmoid
 from stockbook.llm.quality_classifier import labelled
 
@@ -31,10 +31,13 @@ LEXICON = (
     "clown crap cretin damn disgusting dumb fool freak garbage hideous idiot idiotic imbecile jerk liar loser losers lowlife "
     "moron moronic pathetic pig scum scumbag shut stupid stupidity sucker swine trash ugly useless vermin worthless"
 ).split()
-LEXICON_VOTERS, STEM_VOTERS, STEMS = 8, 16, 64
+LEXICON_VOTERS, STEM_VOTERS = 8, 16
 PATTERNS = 6
 VOTERS = LEXICON_VOTERS + STEM_VOTERS + PATTERNS
-LENGTHS = (4, 5, 6)
+# A stem's level: hits per thousand words that a text needs at least. PURITY: toxic among the texts at that level.
+LEVELS = (0, 1, 2, 4, 8, 16, 32, 64, 128)
+PURITY = 0.8
+WHOLE = U(0x5851F42D4C957F2D)
 HASHED = 1024
 LABELLED, TRAINED = 8000, 8000
 ROUNDS = 20
@@ -51,7 +54,7 @@ class Runs:
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         low = lowered(data)
         self.start, self.end, self.before = letter_spans(low, offsets)
-        self.sums = prefix_sums(low)
+        self.low, self.sums = low, prefix_sums(low)
         self.hashes = span_hashes(self.sums, self.start, self.end)
         self.count = np.diff(self.before)
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
@@ -61,10 +64,14 @@ class Runs:
         twice = np.flatnonzero(bang[:-1] & bang[1:])
         self.bangs = np.bincount(np.searchsorted(offsets, twice, "right") - 1, minlength=len(self.count))[: len(self.count)]
 
-    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the first n bytes of the runs that are longer, and the places of these runs."""
-        long = np.flatnonzero(self.end - self.start > n)
-        return span_hashes(self.sums, self.start[long], self.start[long] + n), long
+    def beginnings(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the beginnings of all runs, by whole letters up to the run itself, and of runs as whole words; and their runs."""
+        end = np.flatnonzero(LETTER[self.low]) + 1
+        run = np.repeat(np.arange(len(self.start)), self.end - self.start)
+        inner = (self.low[np.minimum(end, len(self.low) - 1)] & 0xC0) == 0x80
+        full = ~inner | (end == self.end[run])
+        end, run = end[full], run[full]
+        return np.concatenate([span_hashes(self.sums, self.start[run], end), self.hashes ^ WHOLE]), np.concatenate([run, np.arange(len(self.start))])
 
 
 def runs(column: pa.Array):
@@ -82,19 +89,38 @@ def found(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == hashes, at, -1)
 
 
-def cast_votes(r: Runs, words: np.ndarray, stems: np.ndarray, voter_of: np.ndarray) -> np.ndarray:
+def level(hits: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The highest level that so many hits in texts of so many words reach."""
+    return np.searchsorted(np.array(LEVELS), 1000 * hits // np.maximum(count, 1), "right") - 1
+
+
+def stem_hits(r: Runs, stems: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts and stems at or above the stem's level, and for each text the number of words that such stems begin."""
+    if not len(stems):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(len(r.count), int)
+    key, run = r.beginnings()
+    likely = np.zeros(1 << 16, bool)
+    likely[(stems >> U(48)).astype(int)] = True
+    own = np.flatnonzero(likely[(key >> U(48)).astype(np.int64)])
+    at = found(key[own], stems)
+    run, at = run[own[at >= 0]], at[at >= 0]
+    pair, place, hits = np.unique(r.doc[run] * len(stems) + at, return_inverse=True, return_counts=True)
+    doc, stem = pair // len(stems), pair % len(stems)
+    enough = level(hits, r.count[doc]) >= levels[stem]
+    covered = np.unique(run[enough[place]])
+    return doc[enough], stem[enough], np.bincount(r.doc[covered], minlength=len(r.count))
+
+
+def cast_votes(r: Runs, words: np.ndarray, stems: np.ndarray, levels: np.ndarray, voter_of: np.ndarray) -> np.ndarray:
     """Votes (documents x VOTERS) as int8."""
     n = len(r.count)
     hits = np.zeros((n, LEXICON_VOTERS + STEM_VOTERS), np.int32)
     at = found(r.hashes, words)
     own = np.flatnonzero(at >= 0)
     np.add.at(hits, (r.doc[own], at[own] % LEXICON_VOTERS), 1)
-    for k in LENGTHS if len(stems) else ():
-        keys, place = r.prefixes(k)
-        at = found(keys, stems)
-        own = np.flatnonzero(at >= 0)
-        np.add.at(hits, (r.doc[place[own]], LEXICON_VOTERS + voter_of[at[own]]), 1)
-    lexicon, stem = hits[:, :LEXICON_VOTERS].sum(1), hits[:, LEXICON_VOTERS:].sum(1)
+    doc, which, stem = stem_hits(r, stems, levels)
+    hits[doc, LEXICON_VOTERS + voter_of[which]] = 1
+    lexicon = hits[:, :LEXICON_VOTERS].sum(1)
     votes = np.zeros((n, VOTERS), np.int8)
     votes[:, : hits.shape[1]] = hits > 0
     votes[:, -6] = lexicon + stem >= 2
@@ -106,39 +132,51 @@ def cast_votes(r: Runs, words: np.ndarray, stems: np.ndarray, voter_of: np.ndarr
     return votes
 
 
-def mined_stems(docs: DataFrame, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of at most STEMS word beginnings, and the stem voter of each.
+def mined_stems(docs: DataFrame, rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of stems, and the level and the stem voter of each.
 
-    A beginning is taken when it stands in toxic documents only, so often that chance would give less
-    than one such beginning in a hundred samples.
+    A stem is taken, at the level where it tells most, when PURITY of the texts at that level are toxic, and so
+    many that chance would give less than one such stem in a hundred samples. Stems of the same texts share a voter.
     """
 
     def run(batches):
         for batch in batches:
-            y, done = batch.column("y").to_numpy(zero_copy_only=False), 0
+            y, ids, done = batch.column("y").to_numpy(zero_copy_only=False), batch.column("doc_id").to_numpy(zero_copy_only=False), 0
             for r in runs(batch.column("text")):
-                parts = [r.prefixes(k) for k in LENGTHS]
-                key = np.concatenate([p[0] for p in parts])
-                doc = np.concatenate([r.doc[p[1]] for p in parts]) + done
-                done += len(r.count)
+                key, run_ = r.beginnings()
+                doc = r.doc[run_]
                 order = np.lexsort((key, doc))
                 key, doc = key[order], doc[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.record_batch([pa.array(key[new].view(np.int64)), pa.array(y[doc[new]], pa.int32())], names=["stem", "y"])
+                first = np.flatnonzero((np.diff(key, prepend=key[:1] + U(1)) != 0) | (np.diff(doc, prepend=-1) != 0))
+                hits = np.diff(first, append=len(key))
+                key, doc = key[first], doc[first]
+                high, doc = level(hits, r.count[doc]), doc + done
+                done += len(r.count)
+                for lo in range(0, len(key), 1 << 16):
+                    part = slice(lo, lo + (1 << 16))
+                    mark = mixed(ids[doc[part]].astype(np.int64).view(U)) >> U(24)
+                    yield pa.record_batch([pa.array(key[part].view(np.int64)), pa.array(high[part], pa.int32()), pa.array(y[doc[part]], pa.int32()), pa.array(mark.view(np.int64))], names=["stem", "level", "y", "mark"])
 
+    nothing = np.zeros(0, U), np.zeros(0, int), np.zeros(0, int)
     base = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
     if not base[0] or not base[1] or base[1] == base[0]:
-        return np.zeros(0, U), np.zeros(0, int)
+        return nothing
     share = base[1] / base[0]
-    own = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
-    counted = settle(own.select("text", "y").mapInArrow(run, "stem long, y int").groupBy("stem").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n")))
-    least = int(np.ceil(np.log(100 * max(2, counted.count())) / -np.log(share)))
-    rare = counted.where((F.col("n") == F.col("bad")) & (F.col("bad") >= least))
-    best = [r["stem"] for r in rare.orderBy(F.desc("bad"), "stem").limit(STEMS).collect()]
-    stems = np.array(best, np.int64).view(U)
+    own = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "stem long, level int, y int, mark long")
+    counted = settle(own.groupBy("stem", "level").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"), F.sum("mark").alias("mark")))
+    upward = Window.partitionBy("stem").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
+    reached = counted.select("stem", "level", *[F.sum(c).over(upward).alias(c) for c in ("bad", "n", "mark")])
+    pure, rest = F.col("bad") / F.col("n"), (F.col("n") - F.col("bad")) / F.col("n")
+    told = F.col("n") * (pure * F.log(pure / share) + F.when(rest > 0, rest * F.log(rest / (1 - share))).otherwise(0.0))
+    least = float(np.log(100 * max(2, counted.count())))
+    good = reached.where((pure >= PURITY) & (pure > share)).withColumn("told", told).where(F.col("told") >= least)
+    best = good.groupBy("stem").agg(F.max(F.struct("told", "level", "mark")).alias("b")).select("stem", "b.level", "b.mark").collect()
+    if not best:
+        return nothing
+    stems = np.array([r["stem"] for r in best], np.int64).view(U)
     order = np.argsort(stems)
-    return stems[order], (np.arange(len(stems)) % STEM_VOTERS)[order]
+    levels, marks = np.array([r["level"] for r in best]), np.array([r["mark"] for r in best])
+    return stems[order], levels[order], (marks % STEM_VOTERS)[order]
 
 
 def pattern_counts(docs: DataFrame, voters: tuple) -> DataFrame:

@@ -363,6 +363,33 @@ def test_classifiers_on_held_out_rows(spark):
     assert len(abusive) and (abusive.predicted == 1).mean() > 0.9
 
 
+def test_toxicity_recall_by_language(spark):
+    """All held-out toxic documents, whatever their words; misses are noise in the labels."""
+    from stockbook.llm.toxicity import op10_toxicity
+
+    sf = "/root/testdata/sf0.1"
+    got = op10_toxicity(spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id").merge(pd.read_parquet(f"{sf}/documents.parquet", columns=["doc_id", "lang"]), on="doc_id")
+    held = got[got.held_out]
+    recall = held[held.toxic == 1].groupby("lang").predicted.mean()
+    assert set(recall.index) == {"de", "en", "es", "fr"} and (recall > 0.85).all(), recall
+    assert (held.predicted[held.toxic == 0] == 0).mean() > 0.94
+
+
+def test_stems_of_any_length_and_density(spark):
+    """Two letters, accents, long words, and stems that clean texts hold too, but seldom."""
+    import pyarrow as pa
+
+    from stockbook.llm import toxicity as tox
+
+    texts = [("éê " * 4 if i % 4 == 0 else "éê ") + f"réeuxlongword{'abc'[i % 3]} " * (i % 4 == 0) + f"plain{i} words here " * 5 for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    stems, levels, voter = tox.mined_stems(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, y int"))
+    assert len(stems) > 12 and len(levels) == len(voter) == len(stems)
+    for text, want in (("éê", True), ("Éê " + "other " * 99, False), ("réeuxlongwordz", True), ("plain9 words here éêx", True), ("plain words here", False)):
+        r = next(tox.runs(pa.array([text])))
+        assert bool(len(tox.stem_hits(r, stems, levels)[0])) == want, text
+
+
 def test_label_model_finds_accuracies(spark):
     """Votes drawn from known rates give these rates back."""
     from stockbook.llm.toxicity import VOTERS, label_model, posterior
