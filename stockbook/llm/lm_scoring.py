@@ -2,13 +2,15 @@
 
 Words (lower-cased A-Z, between blanks) are hashed into 32 x 32 classes. The network sums an embedding of each of the two
 words before and the two words after (one table for each place), applies tanh, and predicts the two digits of the
-word's class, the second given the first: log P(word | both sides) = log P(first) + log P(second | first). A
-document's score is the sum over its words.
+word's class, the second given the first: log P(class | both sides) = log P(first) + log P(second | first). A table of
+all words of all documents with their counts, which grows with the corpus, gives P(word | class): log P(word | both
+sides) = log P(class | both sides) + log P(word | class). Of each word's count a half goes to unseen words, taken to be
+twice as many as the class's seen ones. A document's score is the sum over its words.
 
 Training covers every document once. In round r the documents whose key hashes to r are trained on, each task
 from the same parameters by Adagrad over its own texts; Spark adds up the tasks' parameters, weighted by their
-words and in fixed point, so the mean is exact in any order. What the tasks send grows with the corpus; what
-the driver gets is one parameter vector of fixed size.
+words and in fixed point, so the mean is exact in any order. Each task sends one parameter vector of fixed size. Words
+above one in HEAD of all are looked up in the tasks (there can't be more than HEAD of them), all others by a join.
 
 Defined results: null, empty and blank texts have no words and score 0.0 (and 0.0 per word); places beyond a
 text's ends are a class of their own; repeated rows are trained on as often as they stand and score
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockbook.llm.common import table
+from stockbook.llm.common import settle, table
 from stockbook.llm.hashing import U, blocks, lowered, views, word_hashes
 from stockbook.llm.quality_classifier import added
 
@@ -31,6 +33,7 @@ CLASSES = DIGITS * DIGITS
 SHAPES = {"e": (4 * (CLASSES + 1), HIDDEN), "b": (HIDDEN,), "w": (HIDDEN, 2 * DIGITS), "c": (2 * DIGITS,), "t": (DIGITS, DIGITS)}
 SIZE = -(-sum(int(np.prod(s)) for s in SHAPES.values()) // SLICES) * SLICES
 FIXED = 1 << 20
+HEAD = 1 << 16
 
 
 def fresh(seed: int = 3) -> np.ndarray:
@@ -54,7 +57,7 @@ def parts(vector: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def windows(column: pa.Array):
-    """(classes of words, rows of the embedding table of their four neighbours, words before each text) by blocks of texts."""
+    """(classes of words, rows of the embedding table of their four neighbours, words before each text, hashes of words) by blocks of texts."""
     data, offsets = views(column)
     for lo, hi in blocks(offsets):
         own = offsets[lo : hi + 1]
@@ -64,7 +67,7 @@ def windows(column: pa.Array):
         at = np.arange(len(word)) + 2 * np.repeat(np.arange(1, len(before)), np.diff(before))
         spaced[at] = word
         near = np.stack([spaced[at + d] + k * (CLASSES + 1) for k, d in enumerate((-2, -1, 1, 2))], axis=1)
-        yield word, near, before
+        yield word, near, before, hashes
 
 
 def log_softmax(z: np.ndarray) -> np.ndarray:
@@ -109,7 +112,7 @@ def train_share(start):
         vector = start.value.copy()
         net, squares, seen = parts(vector), parts(np.zeros(SIZE, np.float32)), 0
         for batch in batches:
-            for word, near, _ in windows(batch.column("text")):
+            for word, near, _, _ in windows(batch.column("text")):
                 for lo in range(0, len(word), BATCH):
                     train_step(net, squares, near[lo : lo + BATCH], word[lo : lo + BATCH])
                 seen += len(word)
@@ -135,21 +138,111 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     return vector
 
 
+def class_scores(net: dict, word: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """log P(class | both sides) of each word."""
+    value = np.zeros(len(word))
+    for lo in range(0, len(word), BATCH):
+        w = word[lo : lo + BATCH]
+        first, rows = w // DIGITS, np.arange(len(w))
+        _, p, q = forward(net, near[lo : lo + BATCH], first)
+        value[lo : lo + BATCH] = p[rows, first].astype(np.float64) + q[rows, w % DIGITS]
+    return value
+
+
+def summed_counts(parts_: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of (keys, counts) pairs and their sums."""
+    key, n = (np.concatenate(x) for x in zip(*parts_, strict=True))
+    key, place = np.unique(key, return_inverse=True)
+    return key, np.bincount(place, n, len(key)).astype(np.int64)
+
+
+def vocabulary(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(word, n) of all words of all documents, by 64-bit hash, and the sum of n for each class."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            data, offsets = views(batch.column("text"))
+            for lo, hi in blocks(offsets):
+                own = offsets[lo : hi + 1]
+                held.append(np.unique(word_hashes(lowered(data[own[0] : own[-1]]), own - own[0])[0], return_counts=True))
+                size += len(held[-1][0])
+                if size >= 1 << 20:
+                    yield record(held)
+                    held, size = [], 0
+        if held:
+            yield record(held)
+
+    def record(held):
+        word, n = summed_counts(held)
+        return pa.record_batch([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    words = settle(docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    totals = np.zeros(CLASSES, np.int64)
+    for r in words.groupBy(F.col("word").bitwiseAND(CLASSES - 1).alias("c")).agg(F.sum("n").alias("n")).collect():
+        totals[r["c"]] = r["n"]
+    return words, totals
+
+
+def score_words(docs: DataFrame, vector: np.ndarray, words: DataFrame, totals: np.ndarray) -> DataFrame:
+    """As score_documents, with log P(word | class) by the vocabulary table (word, n) and its sums by class.
+
+    Word scores add up in fixed point, so that the order of rows doesn't matter.
+    """
+    spark = docs.sparkSession
+    head = words.where(F.col("n") > int(totals.sum()) // HEAD).collect()
+    key = np.array([r["word"] for r in head], np.int64).view(U)
+    order = np.argsort(key)
+    base = np.log(np.maximum(totals, 1))
+    price = np.rint((np.log(np.array([r["n"] for r in head], float) - 0.5) - base[(key & U(CLASSES - 1)).astype(int)]) * FIXED).astype(np.int64)
+    shared = spark.sparkContext.broadcast((vector, key[order], price[order]))
+
+    def run(batches):
+        vector, known, price = shared.value
+        net = parts(vector)
+        for batch in batches:
+            done = 0
+            for word, near, before, hashes in windows(batch.column("text")):
+                docs_, count = len(before) - 1, np.diff(before)
+                text = np.repeat(np.arange(docs_), count)
+                value = np.bincount(text, class_scores(net, word, near), docs_)
+                at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+                hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
+                sums = np.zeros(docs_, np.int64)
+                np.add.at(sums, text[hit], price[at[hit]])
+                text, rare = text[~hit], hashes[~hit]
+                order = np.lexsort((rare, text))
+                text, rare = text[order], rare[order]
+                first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(rare, prepend=rare[:1]) != 0))
+                times = np.diff(first, append=len(rare))
+                spots = pa.array(np.searchsorted(text[first], np.arange(docs_ + 1)), pa.int32())
+                tail = pa.ListArray.from_arrays(spots, pa.StructArray.from_arrays([pa.array(rare[first].view(np.int64)), pa.array(times, pa.int64())], names=["word", "k"]))
+                own = [batch.column(c).slice(done, docs_) for c in ("row", "doc_id")]
+                done += docs_
+                yield pa.record_batch([*own, pa.array(count, pa.int64()), pa.array(value.astype(np.float64)), pa.array(sums), tail], names=["row", "doc_id", "n_words", "part", "fixed", "tail"])
+
+    schema = "row long, doc_id long, n_words long, part double, fixed long, tail array<struct<word: long, k: long>>"
+    scored = settle(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema))
+    sizes = spark.createDataFrame([(c, float(b)) for c, b in enumerate(base)], "c int, base double")
+    log_n = F.coalesce(F.log(F.col("n") - 0.5), F.lit(float(np.log(0.25))))
+    rest = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.k").join(words, "word", "left")
+    rest = rest.join(F.broadcast(sizes), F.col("word").bitwiseAND(CLASSES - 1) == F.col("c"))
+    rest = rest.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("double").alias("part"), (F.col("k") * F.rint((log_n - F.col("base")) * FIXED).cast("long")).alias("fixed"))
+    both = scored.drop("tail").unionByName(rest).groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "n_words", "part")], F.sum("fixed").alias("fixed"))
+    total = F.col("part") + F.col("fixed") / F.lit(float(FIXED))
+    return both.select("doc_id", "n_words", total.alias("log_likelihood"), (total / F.greatest("n_words", F.lit(1))).alias("per_word"))
+
+
 def score_documents(docs: DataFrame, vector: np.ndarray) -> DataFrame:
-    """doc_id, n_words, log_likelihood and per_word for every row of docs (doc_id, text)."""
+    """doc_id, n_words, log_likelihood of the words' classes and per_word for every row of docs (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(vector)
 
     def run(batches):
         net = parts(shared.value)
         for batch in batches:
             counts, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for word, near, before in windows(batch.column("text")):
-                value = np.zeros(len(word))
-                for lo in range(0, len(word), BATCH):
-                    w = word[lo : lo + BATCH]
-                    first, rows = w // DIGITS, np.arange(len(w))
-                    _, p, q = forward(net, near[lo : lo + BATCH], first)
-                    value[lo : lo + BATCH] = p[rows, first].astype(np.float64) + q[rows, w % DIGITS]
+            for word, near, before, _ in windows(batch.column("text")):
+                value = class_scores(net, word, near)
                 counts.append(np.diff(before))
                 text = np.repeat(np.arange(len(before) - 1), counts[-1])
                 sums.append(np.bincount(text, value, len(before) - 1))
@@ -161,4 +254,4 @@ def score_documents(docs: DataFrame, vector: np.ndarray) -> DataFrame:
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_documents(docs, train(docs))
+    return score_words(docs, train(docs), *vocabulary(docs))

@@ -433,6 +433,35 @@ def test_lm_scores(spark, docs):
     assert lm.score_documents(docs.where("false"), vector).count() == 0 and lm.train(docs.where("false")).shape == vector.shape
 
 
+def test_lm_scores_words_not_only_classes(spark, docs, monkeypatch):
+    """Against counts in plain Python: a junk word scores below the frequent word of its class, head or tail."""
+    import pyarrow as pa
+
+    from stockbook.llm import lm_scoring as lm
+
+    vector = lm.train(docs)
+    words, totals = lm.vocabulary(docs)
+    texts = [r["text"] or "" for r in rows(docs)]
+    counts = Counter(w for t in texts for w in t.lower().split())
+    assert words.count() == len(counts) and totals.sum() == sum(counts.values())
+    cls = lambda w: int(next(lm.windows(pa.array([w])))[0][0])
+    size = Counter()
+    for w, n in counts.items():
+        size[cls(w)] += n
+    plain = lm.score_documents(docs, vector).toPandas()
+    want = sorted(p + sum(math.log(counts[w] - 0.5) - math.log(size[cls(w)]) for w in t.lower().split()) for p, t in zip(plain.log_likelihood, texts, strict=True))
+    for head in (1 << 16, 1):
+        monkeypatch.setattr(lm, "HEAD", head)
+        got = lm.score_words(docs, vector, words, totals).toPandas()
+        assert len(got) == 10 and sorted(got.log_likelihood) == pytest.approx(want, rel=1e-5, abs=1e-3)
+    often = counts.most_common(1)[0][0]
+    junk = next(w for w in (f"junk{i}" for i in range(100_000)) if cls(w) == cls(often) and w not in counts)
+    two = spark.createDataFrame([(1, often), (2, junk)], "doc_id long, text string")
+    score = {r["doc_id"]: r["log_likelihood"] for r in rows(lm.score_words(two, vector, words, totals))}
+    assert score[1] - score[2] == pytest.approx(math.log(4 * counts[often] - 2), abs=1e-3)
+    assert lm.score_words(docs.where("false"), vector, *lm.vocabulary(docs.where("false"))).count() == 0
+
+
 def test_lm_training_lowers_loss(spark):
     from stockbook.llm import lm_scoring as lm
 
