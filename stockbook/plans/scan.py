@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockbook.functions.scalars import parent_dir
-from stockbook.operators.maven import parse_mvn_tree, parse_pom, pom_components
+from stockbook.operators.maven import broken_pom, parse_mvn_tree, parse_pom, pom_components
 from stockbook.operators.merge import merge_components, merge_edges
-from stockbook.operators.parse_cargo import parse_cargo_lock, parse_cargo_metadata
+from stockbook.operators.parse_cargo import broken_locks, parse_cargo_lock, parse_cargo_metadata
 from stockbook.operators.parse_npm import parse_npm_ls, parse_package_json, parse_package_lock
 from stockbook.operators.parse_python import parse_pip_inspect, parse_requirements
 from stockbook.operators.report import logical_report
-from stockbook.operators.routing import classify_manifests, pick_per_directory, prefer_resolved, producers
+from stockbook.operators.routing import classify_manifests, pick_per_directory, prefer_resolved, prefer_resolved_folders, producers
 from stockbook.schemas import Parsed
+from stockbook.shared import settled
 from stockbook.sources.writers import sbom_documents
 
 
@@ -30,17 +31,21 @@ PARSERS = {"Cargo.lock": parse_cargo_lock, "package-lock.json": parse_package_lo
 RESOLVERS = {"cargo-metadata": parse_cargo_metadata, "npm-ls": parse_npm_ls, "pip-inspect": parse_pip_inspect, "mvn-tree": parse_mvn_tree}
 
 
-def _together(parts: list[Parsed]) -> Parsed:
+def _parsed(files: DataFrame, parsers: dict) -> Parsed:
+    """What the parsers, by kind, find in files (scan_id, path, kind, content); only kinds that are there are parsed."""
+    there = {r["kind"] for r in files.select("kind").distinct().collect()}  # one row for each kind
+    used = [k for k in parsers if k in there] or list(parsers)[:1]
+    parts = [parsers[k](files.where(F.col("kind") == k).select("scan_id", "path", "content")) for k in used]
     union = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
-    return Parsed(union([p.components for p in parts]), union([p.edges for p in parts]))
+    return Parsed(settled(union([p.components for p in parts])), settled(union([p.edges for p in parts])))
 
 
 def scan_manifests(manifests: DataFrame) -> Parsed:
     """Components and edges of manifests (scan_id, path, content) of all ecosystems; in each folder the first
     producer of an ecosystem that finds something counts."""
-    routed = classify_manifests(manifests)
-    parsers = {p.kind: p.parse for p in producers() if p.parse} | PARSERS
-    all_ = _together([parsers[p.kind](routed.where(F.col("kind") == p.kind).select("scan_id", "path", "content")) for p in producers() if p.kind in parsers])
+    known = [p for p in producers() if p.parse or p.kind in PARSERS]
+    routed = settled(classify_manifests(manifests, known).withColumn("kind", F.concat("ecosystem", F.lit(" "), "kind")))
+    all_ = _parsed(routed, {f"{p.ecosystem} {p.kind}": p.parse or PARSERS[p.kind] for p in known})
     counts = all_.components.groupBy("scan_id", F.col("src_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
     files = routed.select("scan_id", "path", "dir", "ecosystem", "priority").join(counts, ["scan_id", "path"])
     won = pick_per_directory(files).select("scan_id", F.col("path").alias("src_path"))
@@ -50,19 +55,33 @@ def scan_manifests(manifests: DataFrame) -> Parsed:
 
 
 def inventory(manifests: DataFrame, captured: DataFrame | None = None) -> Parsed:
-    """Merged components and edges; captured tool output (scan_id, path, kind, content) goes before manifests."""
+    """Merged components and edges; captured tool output (scan_id, path, kind, content) goes before manifests: for all
+    of a scan's manifests of the ecosystem, or for those of its own folder with Maven."""
     out = scan_manifests(manifests)
     if captured is not None:
-        found = _together([parse(captured.where(F.col("kind") == kind).select("scan_id", "path", "content")) for kind, parse in RESOLVERS.items()])
-        both = prefer_resolved(out.components, found.components)
+        found = _parsed(settled(captured), RESOLVERS)
+        maven = F.col("ecosystem") == "maven"
+        own, other = out.components, found.components
+        both = prefer_resolved(own.where(~maven), other.where(~maven)).unionByName(prefer_resolved_folders(own.where(maven), other.where(maven)))
         ids = both.select("scan_id", F.col("instance_id").alias("parent_id")).distinct()
         out = Parsed(both, out.edges.unionByName(found.edges).join(ids, ["scan_id", "parent_id"], "left_semi").select(*out.edges.columns))
     return Parsed(merge_components(out.components), merge_edges(out.edges))
 
 
-def scan_report(manifests: DataFrame) -> DataFrame:
+def parse_errors(manifests: DataFrame) -> DataFrame:
+    """(scan_id, path, kind) of the manifests that their parser can't read, and that so have no components."""
+    routed = classify_manifests(manifests)
+    text = F.trim(F.regexp_replace("content", "^\ufeff", ""))
+    from_text = routed.where(F.col("kind") != "Cargo.lock").withColumn(
+        "bad", F.when(F.col("kind").isin("package.json", "package-lock.json"), F.try_parse_json(text).isNull()).when(F.col("kind") == "pom.xml", broken_pom(F.col("content"))).otherwise(F.col("content").isNull())
+    )
+    locks = broken_locks(routed.where(F.col("kind") == "Cargo.lock").select("scan_id", "path", "kind", "content"))
+    return from_text.where("bad").select("scan_id", "path", "kind").unionByName(locks)
+
+
+def scan_report(manifests: DataFrame, captured: DataFrame | None = None) -> DataFrame:
     """The logical report of an inventory."""
-    return logical_report(inventory(manifests).components)
+    return logical_report(inventory(manifests, captured).components)
 
 
 def scan_documents(manifests: DataFrame, timestamp: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,10 @@ from pyspark.sql import functions as F
 from stockbook.functions import scalars as s
 from stockbook.operators import graph, maven, merge, parse_cargo, parse_npm, parse_python, report, resolve, routing
 from stockbook.plans import inputs as i
-from stockbook.plans.scan import scan_report
+from stockbook.plans import scan
+from stockbook.plans.scan import scan_manifests, scan_report
+from stockbook.schemas import Parsed, components
+from stockbook.shared import settled, shared_dir
 from stockbook.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,14 +78,14 @@ def parse_package_json(spark, sf_dir):
 
 
 LOCK = """
-WITH l AS (SELECT l_orderkey // 40 AS f, l_orderkey AS o, l_partkey % 50 AS x, l_linenumber AS ln FROM lineitem),
+WITH l AS MATERIALIZED (SELECT l_orderkey // 40 AS f, l_orderkey AS o, l_partkey % 50 AS x, l_linenumber AS ln FROM lineitem),
 nested AS (SELECT f, o, x, min(ln) AS ln FROM l WHERE ln % 2 = 1 GROUP BY ALL),
 hoisted AS (SELECT DISTINCT f, x FROM l WHERE ln % 2 = 0),
 nodes AS (
   SELECT f, 'node_modules/o' || o AS pkg_path, 'o' || o AS name, '1.0.0' AS version FROM (SELECT DISTINCT f, o FROM l)
   UNION ALL SELECT f, 'node_modules/o' || o || '/node_modules/p' || x, 'p' || x, '2.' || x || '.' || ln FROM nested
   UNION ALL SELECT f, 'node_modules/p' || x, 'p' || x, '1.' || x || '.0' FROM hoisted),
-ids AS (SELECT *, """ + iid("('pkg:npm/' || name || '@' || version)", "('f' || f || '/package-lock.json:' || pkg_path)") + """ AS id FROM nodes)
+ids AS MATERIALIZED (SELECT *, """ + iid("('pkg:npm/' || name || '@' || version)", "('f' || f || '/package-lock.json:' || pkg_path)") + """ AS id FROM nodes)
 """
 
 
@@ -90,10 +95,11 @@ def parse_package_lock(spark, sf_dir):
 
 
 @query(LOCK + """
+, deps AS MATERIALIZED (
+  SELECT DISTINCT f, 'node_modules/o' || o AS own, 'node_modules/o' || o || '/node_modules/p' || x AS inner_path, 'node_modules/p' || x AS top_path FROM l)
 SELECT p.id AS parent_id, coalesce(n.id, h.id) AS child_id
-FROM (SELECT DISTINCT f, o, x FROM l) d JOIN ids p ON p.f = d.f AND p.pkg_path = 'node_modules/o' || d.o
-LEFT JOIN ids n ON n.f = d.f AND n.pkg_path = 'node_modules/o' || d.o || '/node_modules/p' || d.x
-LEFT JOIN ids h ON h.f = d.f AND h.pkg_path = 'node_modules/p' || d.x""")
+FROM deps d JOIN ids p ON p.f = d.f AND p.pkg_path = d.own
+LEFT JOIN ids n ON n.f = d.f AND n.pkg_path = d.inner_path LEFT JOIN ids h ON h.f = d.f AND h.pkg_path = d.top_path""")
 def resolve_node_modules(spark, sf_dir):
     return parse_npm.parse_package_lock(i.npm_lock_files(spark, sf_dir)).edges.select("parent_id", "child_id")
 
@@ -403,12 +409,12 @@ def prefer_resolved(spark, sf_dir):
 
 
 @query("""
-SELECT 's' || (o_orderkey % 50) AS scan_id, bool_or(o_orderkey % 7 = 0) AS cargo, bool_or(o_orderkey % 7 = 1) AND bool_or(o_orderkey % 7 = 2) AS npm, bool_or(o_orderkey % 7 = 3) AS pypi
-FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL""")
+SELECT 's' || (o_orderkey // 10) AS scan_id, bool_or(o_orderkey % 7 = 0) AS cargo, bool_or(o_orderkey % 7 = 1) AND bool_or(o_orderkey % 7 = 2) AS npm, bool_or(o_orderkey % 7 = 3) AS pypi
+FROM orders GROUP BY ALL""")
 def resolved_applicable(spark, sf_dir):
     k = F.col("o_orderkey")
     path = i.choose(k, *[F.lit(x) for x in ("Cargo.toml", "package.json", "node_modules/a/package.json", "Pipfile", "x/Cargo.toml", "x/setup.py", "y/package.json")])
-    files = i.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(i.text("s", k % 50).alias("scan_id"), path.alias("path"))
+    files = i.table(spark, sf_dir, "orders").select(i.text("s", i.block("o_orderkey", 10)).alias("scan_id"), path.alias("path"))
     return routing.resolved_applicable(files)
 
 
@@ -442,14 +448,15 @@ def name_rules(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT doc_id, trim(string_split(text, chr(10))[-1], ' ') AS l FROM documents WHERE text IS NOT NULL), u AS (SELECT *, lower(l) AS w FROM t WHERE l <> '' AND upper(l) <> 'UNKNOWN')
-SELECT doc_id, CASE WHEN contains(l, ' OR ') OR contains(l, ' AND ') THEN l END AS expression,
+WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, generate_subscripts(ls, 1) AS line, trim(unnest(ls), ' ') AS l FROM a), u AS (SELECT *, lower(l) AS w FROM t WHERE l <> '' AND upper(l) <> 'UNKNOWN')
+SELECT doc_id, line, CASE WHEN contains(l, ' OR ') OR contains(l, ' AND ') THEN l END AS expression,
   CASE WHEN contains(l, ' OR ') OR contains(l, ' AND ') THEN NULL WHEN contains(w, 'apache') AND contains(w, '2') THEN 'Apache-2.0' WHEN contains(w, 'mit') THEN 'MIT' WHEN contains(w, 'bsd') AND contains(w, '3') THEN 'BSD-3-Clause'
     WHEN contains(w, 'bsd') AND contains(w, '2') THEN 'BSD-2-Clause' WHEN contains(w, 'eclipse') OR contains(w, 'epl') THEN 'EPL-2.0' WHEN contains(w, 'mozilla') OR contains(w, 'mpl') THEN 'MPL-2.0' END AS id FROM u""")
 def normalize_license(spark, sf_dir):
-    last = F.substring_index("text", "\n", -1)
-    out = i.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", s.normalize_license(last).alias("x")).where("x is not null")
-    return out.select("doc_id", "x.expression", "x.id")
+    lines = i.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "l"))
+    out = lines.select("doc_id", (F.col("at") + 1).cast("long").alias("line"), s.normalize_license(F.col("l")).alias("x")).where("x is not null")
+    return out.select("doc_id", "line", "x.expression", "x.id")
 
 
 @query("""
@@ -465,3 +472,98 @@ def fallback_instance_id(spark, sf_dir):
     given = F.when(F.col("l_linenumber") % 2 == 0, "given").otherwise("")
     made = s.fallback_instance_id(given, i.text("pkg:x/p", F.col("l_partkey")), i.text("f", F.col("l_orderkey")), F.col("l_linenumber"), F.lit(1))
     return i.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", made.alias("id"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_size AS z, p_partkey // 100 AS g, 'Pkg_' || p_partkey || '.Lib' AS name FROM part),
+l AS (SELECT g, CASE k % 8 WHEN 0 THEN name || '==1.' || z || '.0' WHEN 1 THEN name || '[extra]>=2.' || z WHEN 2 THEN name || ' ~= 3.' || z || ' ; python_version >= "3.8"' WHEN 3 THEN name || '==4.' || z || ' # note'
+  WHEN 4 THEN name || ' != 5.' || z WHEN 5 THEN name || '==6.*' WHEN 6 THEN '-r other' || k || '.txt' ELSE 'https://host/' || name || '.whl' END AS line, k FROM p)
+SELECT CASE g % 3 WHEN 0 THEN 'a b/pack=' WHEN 1 THEN '.hidden/pack=' ELSE 'x/_deps/.in/pack=' END || g AS dir, count(*) AS lines, sha256(string_agg(line, chr(10) ORDER BY k) || chr(10)) AS digest FROM l GROUP BY g""")
+def read_manifests(spark, sf_dir):
+    """Requirement files written below folders of plain and of hidden names, and read back from their root."""
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    made = settled(i.requirement_files(spark, sf_dir).select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("pack"), F.col("content").alias("value")))
+    for k, folder in enumerate(("a b", ".hidden", "x/_deps/.in")):
+        made.where(F.col("pack") % 3 == k).write.partitionBy("pack").text(f"{root}/{folder}")
+    read = readers.read_manifests(spark, root).where("content <> ''")
+    lines = F.length("content") - F.length(F.translate("content", "\n", ""))
+    return read.select(s.parent_dir(F.col("path")).alias("dir"), lines.cast("long").alias("lines"), F.sha2("content", 256).alias("digest"))
+
+
+@query(INSTANCES + "SELECT scan_id, instance_id AS bom_ref, f.name AS name, f.version AS version, f.purl AS purl FROM merged")
+def read_cyclonedx(spark, sf_dir):
+    """The documents written as files, one folder for each scan, and read back."""
+    own = settled(merge.merge_components(i.line_components(spark, sf_dir)))
+    none = own.where("false").select("scan_id", F.col("instance_id").alias("parent_id"), F.col("instance_id").alias("child_id"), "ord")
+    root = f"{shared_dir(spark)}/boms-{uuid.uuid4().hex}"
+    writers.write_cyclonedx(own, none, root, "2024-01-01T00:00:00Z")
+    out = readers.cyclonedx_components(readers.read_cyclonedx(spark, root))
+    return out.select(F.regexp_extract("scan_id", "scan_id=([^/]*)", 1).alias("scan_id"), "bom_ref", "name", "version", "purl")
+
+
+@query("""
+WITH g AS (SELECT DISTINCT p_partkey // 100 AS g FROM part)
+SELECT 'app' || g || '/package.json' AS path, 'npm' AS ecosystem, 'own' AS name FROM g UNION ALL SELECT 'go' || g || '/go.sum', 'go', 'sum' FROM g""")
+def register_producer(spark, sf_dir):
+    """A parser in place of the built-in one for package.json, and one of a further ecosystem."""
+
+    def own(name, ecosystem):
+        def parse(files):
+            purl = F.lit(f"pkg:{ecosystem}/{name}")
+            found = components(files.select("scan_id", "path", F.lit(name).alias("name"), purl.alias("purl"), s.instance_id(purl, F.col("path")).alias("instance_id")), ecosystem, src_path=F.col("path"))
+            return Parsed(found, found.where("false").select("scan_id", F.col("instance_id").alias("parent_id"), F.col("instance_id").alias("child_id"), "ord"))
+
+        return parse
+
+    files = i.package_files(spark, sf_dir)
+    sums = files.select("scan_id", F.replace(F.replace("path", F.lit("app"), F.lit("go")), F.lit("package.json"), F.lit("go.sum")).alias("path"), F.lit("x").alias("content"))
+    before = routing.producers()
+    routing.register_producer(routing.Producer("npm", "package.json", 1, lambda base: F.lower(base) == "package.json", own("own", "npm")))
+    routing.register_producer(routing.Producer("go", "go.sum", 0, lambda base: base == "go.sum", own("sum", "go")))
+    try:
+        found = scan_manifests(files.unionByName(sums)).components
+    finally:
+        routing.restore_producers(before)
+    return found.select(F.col("src_path").alias("path"), "ecosystem", "name")
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k FROM part)
+SELECT 'd' || k || '/' || CASE k % 8 WHEN 0 THEN 'Cargo.lock' WHEN 1 THEN 'Cargo.lock' WHEN 2 THEN 'package.json' WHEN 3 THEN 'package-lock.json' WHEN 4 THEN 'pom.xml' WHEN 5 THEN 'pom.xml' ELSE 'requirements.txt' END AS path FROM p WHERE k % 8 IN (1, 2, 3, 5, 7)""")
+def parse_errors(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = i.choose(k, *[F.lit(x) for x in ("Cargo.lock", "Cargo.lock", "package.json", "package-lock.json", "pom.xml", "pom.xml", "requirements.txt", "requirements.txt")])
+    content = i.choose(
+        k, i.text('[[package]]\nname = "a', k, '"\nversion = "1.0.0"'), i.text("[[package]\nname = ", k), i.text('{"name": "a', k), i.text("[1, ", k), i.text("<project><artifactId>a", k, "</artifactId></project>"), i.text("<project><artifactId>a", k),
+        i.text("a==", k), F.lit(None).cast("string"),
+    )
+    files = i.table(spark, sf_dir, "part").select(F.lit("s").alias("scan_id"), i.text("d", k, "/", name).alias("path"), content.alias("content"))
+    return scan.parse_errors(files).select("path")
+
+
+@query("""
+WITH l AS (SELECT DISTINCT l_returnflag AS scan_id, 'd' || (l_orderkey // 100) AS dir, l_orderkey AS k, l_quantity > 40 AS tool FROM lineitem),
+r AS (SELECT DISTINCT scan_id, dir, k FROM l WHERE tool AND k % 3 = 0), st AS (SELECT DISTINCT scan_id, dir, k FROM l)
+SELECT scan_id, dir, k FROM r UNION ALL SELECT scan_id, dir, k FROM st WHERE (scan_id, dir) NOT IN (SELECT (scan_id, dir) FROM r)""")
+def prefer_resolved_folders(spark, sf_dir):
+    k = F.col("l_orderkey")
+    own = i.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("scan_id"), F.lit("maven").alias("ecosystem"), i.text("d", i.block("l_orderkey", 100), "/pom.xml").alias("src_path"), k.alias("k"), "l_quantity")
+    tool = own.where("l_quantity > 40 and k % 3 = 0").drop("l_quantity").distinct()
+    return routing.prefer_resolved_folders(own.drop("l_quantity").distinct(), tool).select("scan_id", s.parent_dir(F.col("src_path")).alias("dir"), "k")
+
+
+STATIC = ("parse_requirements", "parse_package_json", "parse_package_lock", "parse_cargo_lock", "pom_components")
+TOOLS = """
+SELECT scan_id, instance_id FROM (""" + ORACLE_SQL["parse_cargo_metadata"] + ") UNION ALL SELECT scan_id, instance_id FROM (" + ORACLE_SQL["mvn_tree_components"] + """)
+UNION ALL SELECT DISTINCT scan_id, unnest([parent_id, child_id]) FROM (""" + ORACLE_SQL["parse_npm_ls"] + """)
+UNION ALL SELECT 's' || (p_partkey // 100), """ + iid("('pkg:pypi/dist-' || p_partkey || '@1.' || p_size)", "'pypi-site-packages'") + " FROM part"
+
+
+@query(" UNION ALL ".join(f"SELECT 'static' AS scan_id, instance_id FROM (SELECT DISTINCT instance_id FROM ({ORACLE_SQL[q]}))" for q in STATIC) + f" UNION ALL SELECT DISTINCT * FROM ({TOOLS})")
+def scan_inventory(spark, sf_dir):
+    """Manifests of all ecosystems with captured output of all tools, to one inventory."""
+    makers = (i.requirement_files, i.package_files, i.npm_lock_files, i.cargo_lock_files, i.pom_files)
+    tools = {"cargo-metadata": i.cargo_metadata_files, "npm-ls": i.npm_ls_files, "pip-inspect": i.pip_inspect_files, "mvn-tree": i.mvn_tree_files}
+    files = functools.reduce(DataFrame.unionByName, [f(spark, sf_dir) for f in makers]).withColumn("scan_id", F.lit("static"))
+    output = functools.reduce(DataFrame.unionByName, [f(spark, sf_dir).select("scan_id", "path", F.lit(kind).alias("kind"), "content") for kind, f in tools.items()])
+    return scan.inventory(files, output).components.select("scan_id", "instance_id")

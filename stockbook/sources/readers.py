@@ -14,10 +14,26 @@ components array<struct<type: string, name: string, `group`: string, version: st
 dependencies array<struct<ref: string, dependsOn: array<string>>>"""
 
 
+def hidden_folders(spark: SparkSession, root: str) -> list[str]:
+    """The folders at any depth whose names begin with _ or a dot, but for .git at the root: Spark's file sources leave them
+    out of a listing, yet read them when named. One listing of names per depth."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    top = fs_path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, found, level = fs.makeQualified(top).toString().rstrip("/"), [], ""
+    while len(fs.globStatus(fs_path(f"{base}{level}/*"))):
+        for status in fs.globStatus(fs_path(f"{base}{level}/[._]*")):
+            at = status.getPath().toString()
+            if status.isDirectory() and not f"{at}/".startswith(f"{base}/.git/"):
+                found.append(at)
+        level += "/*"
+    return found
+
+
 def read_manifests(spark: SparkSession, root: str, scan_id: str = "scan") -> DataFrame:
-    """(scan_id, path, content) of all files below root, but not of its .git folder. A listing that holds
-    links, or names that begin with _ or a dot, is landed as a Parquet table first; this reads plain trees."""
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), F.col("value").alias("content"))
+    """(scan_id, path, content) of all files below root, but not of its .git folder. Files whose own names begin with _ or
+    a dot aren't read (no manifest has such a name); links are followed, so trees with links are landed as a table first."""
+    raw = spark.read.text([root, *hidden_folders(spark, root)], wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), F.col("value").alias("content"))
     base = F.lit("/" + root.split("://", 1)[-1].strip("/"))
     path = manifest_rel_path(base, F.url_decode(F.regexp_replace("file", "^[a-z]+:/+", "/")))
     return raw.select(F.lit(scan_id).alias("scan_id"), path.alias("path"), "content").where(~F.startswith("path", F.lit(".git/")))
