@@ -8,15 +8,20 @@ score, then the smaller path) is the host's. Pages are then extracted again: all
 host's path, or the page's own best container where the path isn't there.
 
 Left out wherever they stand: menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, comments of readers and hidden elements, known by tag, role, class and id.
+styles, comments of readers and hidden elements, known by tag, role, class and id. Classes and ids are judged
+by whole names and the parts between their hyphens: one says what an element is by its last part, or by its first if
+the rest names a mere frame (ad-box); has-sidebar and the like describe a layout and say nothing. A main element
+is read whatever the names around it; so is an article where a page would have no text otherwise.
 
 Defined results: null and empty html give an empty text; unclosed and misnested tags are closed as
-browsers do; a null url is a host of its own; repeated rows are extracted alike; an empty table gives no
+browsers do; broken declarations are comments up to the next ">"; the work is linear in the page; a null url is a host of its own; repeated rows are extracted alike; an empty table gives no
 rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import collections
+import functools
 import re
 from html.parser import HTMLParser
 
@@ -32,9 +37,17 @@ LEFT_OUT = frozenset("nav footer aside form script style noscript template ifram
 CONTAINERS = frozenset("body article main section div td".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote table thead tbody tr th caption figure figcaption address details summary header hr html center fieldset hgroup nav aside footer form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-BAD_NAMES = re.compile(
-    r"(?<![a-z])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|topbar|footer|sidebar|side|aside|rail|cookies?|consent|gdpr|notice|banner|alert|popup|modal|overlay|"
-    r"ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|widget)(?![a-z])"
+BAD_PARTS = frozenset(
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer sidebar side aside rail cookie cookies consent gdpr notice banner alert popup modal overlay "
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion comment comments commentlist disqus replies respond share sharing social related recommended "
+    "newsletter subscribe signup login search pagination pager widget widgets".split()
+)
+READERS = frozenset("comment comments commentlist disqus replies respond".split())
+LAYOUT = frozenset("has have no not with without is hide show".split())
+OWN = frozenset("article entry post story content".split())
+FRAME = frozenset(
+    "area bar bars block blocks bottom box boxes btn btns button buttons col column container content feed fixed form global group holder icon icons inner item items left links list lists main mobile "
+    "outer page panel posts primary right row secondary section site slot sticky strip top unit wrap wrapper".split()
 )
 GOOD_NAMES = re.compile(r"(?<![a-z])(?:article|content|post|entry|story|main|body|text)(?![a-z])")
 WEIGHTS = {"article": 1.5, "main": 1.3, "body": 0.8}
@@ -43,19 +56,34 @@ STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 DEPTH = 8
 
 
+@functools.lru_cache(1 << 16)
+def bad_name(name: str, bad: frozenset = BAD_PARTS) -> bool:
+    """Whether a class or id names something that isn't part of an article."""
+    parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if x]
+    if not parts or not LAYOUT.isdisjoint(parts) or (parts[-1] == "header" and parts[0] in OWN):
+        return False
+    return parts[-1] in bad or (parts[0] in bad and all(x in FRAME or x in bad for x in parts[1:]))
+
+
 class Page(HTMLParser):
-    """Blocks (container number, text, characters in links) and containers (parent, path, weight)."""
+    """Blocks (container number, text, characters in links) and containers (parent, path, weight).
+
+    lenient: an article is read whatever the names of the elements around it.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, lenient: bool = False) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, left out, container
+        self.lenient = lenient
+        self.open: list[tuple[str, int, int]] = []  # tag, left out (1: by names, 2: for good), container
+        self.at: dict[str, list[int]] = collections.defaultdict(list)  # places of open elements by tag
+        self.solid: list[int] = []  # places of open blocks and of elements left out
         self.containers: list[tuple[int, str, float]] = [(-1, "", 0.7)]
         self.blocks: list[tuple[int, str, int]] = []
         self.text: list[str] = []
-        self.links = self.in_link = 0
+        self.links = 0
 
-    def state(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (False, 0)
+    def state(self) -> tuple[int, int]:
+        return self.open[-1][1:] if self.open else (0, 0)
 
     def end_block(self) -> None:
         if self.text:
@@ -64,10 +92,22 @@ class Page(HTMLParser):
                 self.blocks.append((self.state()[1], text, self.links))
             self.text, self.links = [], 0
 
+    def left_out(self, tag: str, values: dict, names: list[str], out: int) -> int:
+        """2 where tag, role or style say so, 1 where only names do."""
+        if out == 2 or tag in ("html", "body"):
+            return out
+        inner = tag == "header" and (self.at["article"] or self.at["main"])
+        hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
+        if tag in LEFT_OUT or (tag == "header" and not inner) or hidden or values.get("role", "").lower() in ROLES:
+            return 2
+        if tag == "main" or (self.lenient and tag == "article"):
+            return 0
+        return 1 if out or any(bad_name(x, READERS if tag == "article" else BAD_PARTS) for x in names) else 0
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.end_block()
-            self.pop_to({"p"}, (BLOCKS | LEFT_OUT) - {"p"})
+            self.pop_to(("p",), None)
             if tag in CLOSES:
                 self.pop_to(CLOSES[tag], STOPS[tag])
         if tag in VOID:
@@ -76,20 +116,18 @@ class Page(HTMLParser):
             return
         out, at = self.state()
         values = {k: v or "" for k, v in attrs}
-        names = f"{values.get('class', '')} {values.get('id', '')}".lower()
-        inner = any(t in ("article", "main") for t, _, _ in self.open) if tag == "header" else False
-        if tag not in ("html", "body"):
-            out = out or tag in LEFT_OUT or (tag == "header" and not inner) or "hidden" in values or values.get("role", "").lower() in ROLES
-            out = out or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
-            out = out or (bool(names.strip()) and tag not in ("article", "main") and bool(BAD_NAMES.search(names)))
+        names = f"{values.get('class', '')} {values.get('id', '')}".split()
+        out = self.left_out(tag, values, names, out)
         if tag in CONTAINERS and not out:
-            first = re.sub(r"\d+", "#", names.split()[0]) if names.strip() else ""
+            first = re.sub(r"\d+", "#", names[0].lower()) if names else ""
             label = f"{tag}.{first}" if first else tag
             path = ">".join([*self.containers[at][1].split(">"), label][-DEPTH:])
-            weight = WEIGHTS.get(tag, 1.0) * (1.25 if GOOD_NAMES.search(names) else 1.0)
+            weight = WEIGHTS.get(tag, 1.0) * (1.25 if GOOD_NAMES.search(" ".join(names).lower()) else 1.0)
             self.containers.append((at, path, weight))
             at = len(self.containers) - 1
-        self.in_link += tag == "a"
+        self.at[tag].append(len(self.open))
+        if tag in BLOCKS or tag in LEFT_OUT:
+            self.solid.append(len(self.open))
         self.open.append((tag, out, at))
 
     def handle_startendtag(self, tag, attrs):
@@ -98,24 +136,30 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def pop_to(self, tags, stops) -> None:
-        """Close the innermost element of these tags, unless one of stops lies between."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
-                self.in_link -= sum(t == "a" for t, _, _ in self.open[i:])
-                del self.open[i:]
-                return
-            if self.open[i][0] in stops:
-                return
+        """Close the innermost element of these tags, unless one of stops (None: any block) lies between."""
+        place = max((self.at[t][-1] for t in tags if self.at[t]), default=-1)
+        stop = max((self.at[t][-1] for t in stops if self.at[t]), default=-1) if stops is not None else self.solid[-1] if self.solid else -1
+        if stop > place:
+            return
+        while 0 <= place < len(self.open):
+            self.at[self.open.pop()[0]].pop()
+            if self.solid and self.solid[-1] == len(self.open):
+                self.solid.pop()
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.end_block()
-        self.pop_to({tag}, set() if tag in BLOCKS or tag in LEFT_OUT else BLOCKS)
+        self.pop_to((tag,), () if tag in BLOCKS or tag in LEFT_OUT else None)
+
+    def parse_marked_section(self, i, report=1):
+        """Marked sections, broken ones too, are comments."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
 
     def handle_data(self, data):
         if not self.state()[0]:
             self.text.append(data)
-            if self.in_link:
+            if self.at["a"]:
                 self.links += len(data)
 
     def scores(self) -> list[float]:
@@ -139,10 +183,13 @@ class Page(HTMLParser):
 
 
 def parsed(html: str | None) -> Page:
-    page = Page()
-    page.feed(html or "")
-    page.close()
-    page.end_block()
+    for lenient in (False, True):
+        page = Page(lenient)
+        page.feed(html or "")
+        page.close()
+        page.end_block()
+        if page.blocks:
+            break
     return page
 
 
