@@ -56,14 +56,14 @@ def offset(source: Column, seed: str) -> Column:
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = "mix", keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and the columns named in keep."""
     names = [c for c in dict.fromkeys(("doc_id", "source", *keep))]
-    base = docs.select(*[F.col(c).alias(f"in_{c}") for c in names], word_count(F.col("text")).alias("size"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"))
-    ranged = settle(base.repartitionByRange("no_source", "src", "size", "in_doc_id").withColumn("range", F.spark_partition_id()))
+    base = docs.select(*[F.col(c).alias(f"in_{c}") for c in names], word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("in_hash_"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"))
+    ranged = settle(base.repartitionByRange("no_source", "src", "size", "in_doc_id", "in_hash_").withColumn("range", F.spark_partition_id()))
     counts = ranged.groupBy("range", "no_source", "src").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     sizes = counts.groupBy("no_source", F.col("src").alias("source")).agg(F.sum("words").alias("source_size"))
     ahead = Window.partitionBy("no_source", "src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n", "words")
     plan = starts.join(source_targets(sizes, weights, most).withColumnRenamed("source", "src"), ["no_source", "src"])
-    here = Window.partitionBy("range", "no_source", "src").orderBy("size", "in_doc_id")
+    here = Window.partitionBy("range", "no_source", "src").orderBy("size", "in_doc_id", "in_hash_")
     ranked = ranged.withColumn("nth", F.row_number().over(here)).join(plan, ["range", "no_source", "src"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     shift = offset(F.when(~F.col("no_source"), F.col("src")), seed)
