@@ -109,6 +109,12 @@ def labelled(labels: DataFrame, column: str, most: int) -> DataFrame:
     return rows.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(most)
 
 
+def sampled(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, text and the other columns of rows (doc_id, ...), a bounded table, for one text of each id: of an id that repeats the first by md5."""
+    own = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    return own.groupBy(*rows.columns).agg(F.min_by("text", F.md5(F.coalesce("text", F.lit("")))).alias("text"))
+
+
 def sample_features(docs: DataFrame, vectors, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
@@ -117,7 +123,7 @@ def sample_features(docs: DataFrame, vectors, rows: DataFrame) -> tuple[np.ndarr
             x = pooled(batch.column("text"), shared.value)
             yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    own = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").mapInArrow(run, "doc_id long, y int, x array<double>")
+    own = sampled(docs, rows).select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, x array<double>")
     found = sorted(own.collect(), key=lambda r: (r["doc_id"], r["x"]))
     return np.array([r["x"] for r in found]).reshape(len(found), 2 * DIMS + 1), np.array([r["y"] for r in found], float)
 
