@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from stockbook.llm.common import crc_mod, lean_batches, settle, table
 from stockbook.llm.hashing import LETTER, U, blocks, letter_spans, lowered, mixed, prefix_sums, span_hashes, views
 from stockbook.llm.network import adam, sigmoid
-from stockbook.llm.quality_classifier import labelled
+from stockbook.llm.quality_classifier import labelled, sampled
 
 # Words of abuse.
 LEXICON = (
@@ -34,9 +34,10 @@ LEXICON = (
 LEXICON_VOTERS, STEM_VOTERS = 8, 16
 PATTERNS = 6
 VOTERS = LEXICON_VOTERS + STEM_VOTERS + PATTERNS
-# A stem's level: hits per thousand words that a text needs at least. PURITY: toxic among the texts at that level.
+# A stem's level: hits per thousand words that a text needs at least. PURITY: toxic among the texts at that level; beyond
+# FLOOR by more than chance gives in one of exp(DOUBT) cases.
 LEVELS = (0, 1, 2, 4, 8, 16, 32, 64, 128)
-PURITY = 0.8
+PURITY, FLOOR, DOUBT = 0.9, 0.7, 3.0
 WHOLE = U(0x5851F42D4C957F2D)
 HASHED = 1024
 LABELLED, TRAINED = 8000, 8000
@@ -162,14 +163,18 @@ def mined_stems(docs: DataFrame, rows: DataFrame) -> tuple[np.ndarray, np.ndarra
     if not base[0] or not base[1] or base[1] == base[0]:
         return nothing
     share = base[1] / base[0]
-    own = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "stem long, level int, y int, mark long")
+    own = sampled(docs, rows).select("doc_id", "text", "y").mapInArrow(run, "stem long, level int, y int, mark long")
     counted = settle(own.groupBy("stem", "level").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"), F.sum("mark").alias("mark")))
     upward = Window.partitionBy("stem").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
     reached = counted.select("stem", "level", *[F.sum(c).over(upward).alias(c) for c in ("bad", "n", "mark")])
     pure, rest = F.col("bad") / F.col("n"), (F.col("n") - F.col("bad")) / F.col("n")
-    told = F.col("n") * (pure * F.log(pure / share) + F.when(rest > 0, rest * F.log(rest / (1 - share))).otherwise(0.0))
+
+    def beyond(q: float):
+        """How far the share of toxic texts lies above q: chance gives as much with at most exp of minus this."""
+        return F.when(pure > q, F.col("n") * (pure * F.log(pure / q) + F.when(rest > 0, rest * F.log(rest / (1 - q))).otherwise(0.0))).otherwise(0.0)
+
     least = float(np.log(100 * max(2, counted.count())))
-    good = reached.where((pure >= PURITY) & (pure > share)).withColumn("told", told).where(F.col("told") >= least)
+    good = reached.where(pure >= PURITY).where(beyond(FLOOR) >= DOUBT).withColumn("told", beyond(share)).where(F.col("told") >= least)
     best = good.groupBy("stem").agg(F.max(F.struct("told", "level", "mark")).alias("b")).select("stem", "b.level", "b.mark").collect()
     if not best:
         return nothing
@@ -283,7 +288,7 @@ def fitted(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED, tr
                 yield pa.record_batch([pa.array([v.tobytes() for v in votes], pa.binary()), pa.array([y.tobytes() for y in x], pa.binary())], names=["votes", "x"])
 
     first = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(trained_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").select("text").mapInArrow(run, "votes binary, x binary").collect()
+    rows = sampled(docs, first).select("text").mapInArrow(run, "votes binary, x binary").collect()
     rows.sort()
     votes = np.frombuffer(b"".join(r["votes"] for r in rows), np.int8).reshape(-1, VOTERS)
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(len(rows), VOTERS + HASHED)
