@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockbook.shared import shared_dir
+
 #: What separates words everywhere in this subpackage: the ASCII blanks.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
@@ -18,15 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="stockbook-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
 #: By owner, (table name or '', path) of what settle and bucketed have written and nobody has cleared.
 _SCRATCH: dict[str, list[tuple[str, str]]] = {}
 _OWNER = [""]
@@ -48,8 +40,19 @@ def clear_scratch(spark: SparkSession, owner: str) -> None:
     for name, path in _SCRATCH.pop(owner, []):
         if name:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what settle wrote for this frame, if it is one of settle's: all that reads it must be settled by now."""
+    path = getattr(df, "settled_at", None)
+    if path:
+        _delete(df.sparkSession, path)
 
 
 def settle(df: DataFrame, scratch: bool = True) -> DataFrame:
@@ -59,7 +62,9 @@ def settle(df: DataFrame, scratch: bool = True) -> DataFrame:
     if scratch:
         _SCRATCH.setdefault(_OWNER[-1], []).append(("", path))
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
 
 
 def words(text: Column) -> Column:
