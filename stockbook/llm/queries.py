@@ -15,6 +15,8 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 ORACLE_SQL = {
+    "op2_suffix_dedup": suffix_dedup.ORACLE,
+    "op4_near_dedup": near_dedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
 }
