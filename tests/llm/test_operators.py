@@ -85,6 +85,37 @@ def test_near_groups_of_many_edits(spark):
     assert [got[i] for i in range(120)] == [group.index(g) for g in group]
 
 
+def test_near_group_around_one_text(spark):
+    """Seven hundred texts near one centre, which isn't the smallest class, but seldom near each other: few pairs, one group."""
+    from stockbook.llm import near_dedup as nd
+
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for _ in range(700):
+        own = list(base)
+        for p in rng.choice(np.arange(2, 198), 5, replace=False):
+            own[p] = f"e{rng.integers(40)}"
+        texts.append(" ".join(own))
+    made = []
+    before, nd.candidates = nd.candidates, lambda pairs, *rest: made.append(pairs.count()) or before(pairs, *rest)
+    try:
+        got = nd.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).toPandas().set_index("doc_id").component_id
+    finally:
+        nd.candidates = before
+    group = brute_groups(texts, 3, 85)
+    assert [got[i] for i in range(701)] == [group.index(g) for g in group]
+    assert sum(made) < 10 * len(texts)
+
+
+def test_sets_of_one_hash_stay_apart(spark):
+    from stockbook.llm.near_dedup import told_apart
+
+    named = spark.createDataFrame([(1, 5, 7), (2, 5, 7), (3, 5, 8), (4, 6, 1), (5, None, None)], "doc_id long, class long, check long")
+    got = {r["doc_id"]: r["class"] for r in told_apart(named, named).collect()}
+    assert got[1] == got[2] == 5 and got[3] not in (5, 6) and got[4] == 6 and got[5] is None
+
+
 def brute_strip(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(b[s : s + length] for b in data for s in range(len(b) - length + 1))
@@ -99,7 +130,7 @@ def brute_strip(texts, length):
     return out
 
 
-@pytest.mark.parametrize("crowd", [1, 500])
+@pytest.mark.parametrize("crowd", [1, 3, 500])
 def test_stripped_texts(spark, crowd):
     from stockbook.llm.suffix_dedup import stripped_texts, text_key
 
@@ -142,6 +173,28 @@ def test_encode_is_sampling_without_replacement():
     assert (found[0]["score"] >= found[1]["score"]).all() and (found[2]["score"] >= b.threshold).all()
 
 
+def test_encode_samples_in_the_right_order():
+    """All ordered triples of distinct segmentations, against their probabilities under sampling without replacement."""
+    from stockbook.llm.hashing import U, mixed
+    from stockbook.llm.pieces import Block, vocabulary
+
+    n = 30_000
+    b = Block(vocabulary(), [b"the"] * n, mixed(np.arange(n, dtype=U) * U(104729)))
+    found = b.search(3)
+    paths = [[tuple(b.lattice.piece[p["edge"][p["first"][i] : p["first"][i + 1]]]) for i in range(n)] for p in found]
+    share = {p: math.exp(w) for q in range(3) for p, w in zip(paths[q], found[q]["log_prob"], strict=True)}
+    assert sum(share.values()) == pytest.approx(1, abs=1e-3)
+    seen, chi, cells = Counter(zip(*paths, strict=True)), 0.0, 0
+    for x in share:
+        for y in share:
+            for z in share:
+                if len({x, y, z}) == 3:
+                    want = n * share[x] * share[y] / (1 - share[x]) * share[z] / (1 - share[x] - share[y]) if share[x] + share[y] < 1 - 1e-12 else 0.0
+                    if want >= 5:
+                        chi, cells = chi + (seen[x, y, z] - want) ** 2 / want, cells + 1
+    assert cells > 3 and chi < cells + 5 * math.sqrt(2 * cells)
+
+
 def test_encode_and_decode(spark, docs):
     from stockbook.llm.pieces import decode, encode
 
@@ -166,8 +219,17 @@ def test_mixing(spark, docs):
         x = by.setdefault(r["source"], [0, r["target"], r["source_size"]])
         x[0] += r["size"] * r["copies"]
         assert r["copies"] <= 3
-    assert [by[s][1] for s in ("a", "b", None)] == [30073 - 18 - 3, 18, 3] or sum(x[1] for x in by.values()) == pytest.approx(sum(x[2] for x in by.values()))
-    assert all(x[1] <= 3 * x[2] for x in by.values())
+    size = {s: x[2] for s, x in by.items()}
+    weight, open_, left, want = dict(zip(("a", "b", None), (5, 2, 1), strict=True)), {"a", "b", None}, sum(size.values()), {}
+    while True:  # who is above three times its size stops there, the rest is shared again
+        above = [s for s in open_ if left * weight[s] / sum(weight[o] for o in open_) > 3 * size[s]]
+        if not above:
+            break
+        for s in above:
+            want[s] = 3 * size[s]
+        open_, left = open_ - set(above), sum(size.values()) - sum(want.values())
+    want |= {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+    assert {s: x[1] for s, x in by.items()} == pytest.approx(want)
     key = lambda r: (r["doc_id"] or -1, r["source"] or "", r["copies"])
     assert sorted(map(key, rows(mix(docs.repartition(5))))) == sorted(map(key, out))
     assert mix(docs.where("false")).count() == 0
@@ -271,6 +333,66 @@ def test_media_reads_other_tables():
     assert thumbnails([media])[0][0].tolist() == [[135, 255, 255]]
 
 
+def colour_jpeg(wide, tall, factors, planes, interleaved=True, every=0):
+    """A baseline file of three components with flat blocks of the given values (planes[c][row, column] of blocks)."""
+    from stockbook.llm.media import AC_LENGTHS, BLOCK_WORDS, DC_LENGTHS, huffman_segment
+
+    hs, vs = max(f[0] for f in factors), max(f[1] for f in factors)
+    frame = b"".join(bytes([c + 1, h * 16 + v, 0]) for c, (h, v) in enumerate(factors))
+    out = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xdb\x00\x43\x00" + bytes([8] * 64)
+    out += b"\xff\xc0" + (8 + 9).to_bytes(2, "big") + b"\x08" + tall.to_bytes(2, "big") + wide.to_bytes(2, "big") + b"\x03" + frame
+    out += huffman_segment(0x00, DC_LENGTHS) + huffman_segment(0x10, AC_LENGTHS) + (b"\xff\xdd\x00\x04" + every.to_bytes(2, "big") if every else b"")
+    for scan in [[0, 1, 2]] if interleaved else [[0], [1], [2]]:
+        units = []
+        if interleaved:
+            for y in range(-(-tall // (8 * vs))):
+                for x in range(-(-wide // (8 * hs))):
+                    units.append([(c, planes[c][y * v + j, x * h + i]) for c, (h, v) in enumerate(factors) for j in range(v) for i in range(h)])
+        else:
+            h, v = factors[scan[0]]
+            units = [[(scan[0], planes[scan[0]][y, x])] for y in range(-(-tall * v // (8 * vs))) for x in range(-(-wide * h // (8 * hs)))]
+        body, past = b"", [128] * 3
+        for k, unit in enumerate(units):
+            if every and k and k % every == 0:
+                body, past = body + bytes([255, 0xD0 + (k // every - 1) % 8]), [128] * 3
+            for c, value in unit:
+                body += int(BLOCK_WORDS[int(value) - past[c] + 255]).to_bytes(2, "big")
+                past[c] = int(value)
+        out += b"\xff\xda" + (6 + 2 * len(scan)).to_bytes(2, "big") + bytes([len(scan)]) + b"".join(bytes([c + 1, 0]) for c in scan) + b"\x00\x3f\x00" + body
+    return out + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("factors", [[(1, 1), (1, 1), (1, 1)], [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)], [(1, 2), (1, 1), (1, 2)]])
+def test_media_in_colour(factors):
+    from stockbook.llm.media import thumbnails
+
+    rng = np.random.default_rng(8)
+    wide, tall = 75, 43
+    planes = [rng.integers(0, 256, (12, 14)) for _ in range(3)]
+    for interleaved in (True, False):
+        for every in (0, 1, 3):
+            got = thumbnails([colour_jpeg(wide, tall, factors, planes, interleaved, every)])[0]
+            assert len(got) == 1 and (got[0] == planes[0][:6, :10]).all(), (interleaved, every)
+
+
+def test_media_broken_or_foreign(spark):
+    """Every cut, and flipped bytes, give a row; whole ones beside them are read as ever."""
+    from stockbook.llm.media import encode, features, padded, thumbnails
+
+    whole = encode(padded(np.frombuffer(b"some text " * 90, np.uint8)))
+    rng = np.random.default_rng(9)
+    bad = [whole[:n] for n in range(0, len(whole), 41)] + [whole.replace(b"\xff\xc0", b"\xff\xc2"), b"GIF89a", b"\xff\xd8\xff\xd9", whole[:2] + whole[70:]]
+    for _ in range(150):
+        m = bytearray(whole)
+        m[rng.integers(len(m))] = rng.integers(256)
+        bad.append(bytes(m))
+    out = thumbnails([whole, *bad, whole])
+    assert len(out) == len(bad) + 2 and (out[0][0] == out[-1][0]).all() and all(isinstance(x, str) for x in out[1 : 1 + len(range(0, len(whole), 41))])
+    got = rows(features(spark.createDataFrame([(1, None), (2, bytearray(b"x")), (3, bytearray(whole)), (3, bytearray(whole[:-40]))], "doc_id long, media binary")))
+    assert [r["payload_bytes"] for r in got] == [None, None, 1152, None] and [r["media_bytes"] for r in got] == [0, 1, len(whole), len(whole) - 40]
+    assert [r["feature"][:12] == "unreadable: " for r in got] == [True, True, False, True]
+
+
 PAGE = """<html><head><title>t</title><script>var a="</p><p>no";</script><style>p{}</style></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href=x>Home</a></ul></nav><div class="cookie-notice">We use cookies</div><div class="wrap"><div class="post-17 entry"><h1>Head &amp; line</h1><p>One<br>two&nbsp;three
  <b>four</b><p>five<form><p>mail me</form><div class="ad">buy</div><blockquote>six</blockquote></div><div id="comments"><p>first!</div></div>
@@ -292,6 +414,55 @@ def test_html_text(spark):
     assert main_text(pages.where("false")).count() == 0
 
 
+def test_html_of_other_designs():
+    """Layout names, wrappers with bad names, broken declarations, comments as articles."""
+    from stockbook.llm.html_text import bad_name, extract
+
+    art = "<article><h1>Title</h1><p>Body of the text.</p></article>"
+    want = "Title Body of the text."
+    side = '<div class="{}"><p>More to read, and more, and more, and more, and more</p></div>'
+    for around in ("layout has-sidebar", "no-sidebar", "content-with-sidebar", "widget", "page-header"):
+        assert extract(f'<body><div class="{around}">{art}</div></body>', None) == want, around
+    for name in ("sidebar", "site-header", "cookie-notice", "ad-box", "adBox", "social-links", "comment-list", "left-sidebar", "related-posts"):
+        assert bad_name(name) and extract(f"<body>{art}{side.format(name)}</body>", None) == want, name
+    for name in ("social-science", "header-image", "side-effects", "entry-header", "navigation-history-of-ships", "shadow", "commented"):
+        assert not bad_name(name), name
+        assert extract(f'<body><article><h1>Title</h1><p class="{name}">Body of the text.</p></article></body>', None) == want, name
+    assert extract(f'<body>{art}<section id="comments"><article class="comment"><p>No!</p></article></section></body>', None) == want
+    assert extract(f'<body><div class="overlay"><main>{art}</main></div></body>', None) == want
+    for broken in ("<![foo[bar]]>", "<![", "<![if IE]>", "<!", "<!-", "<?php", "<!DOCTYPE [", "<![CDATA[x]]>", "&#xFFFFFFFFF;", "</", "<a b='", "<![%x;["):
+        assert extract(art + broken, None).startswith(want) and want in extract(broken + ">" + art, None), broken
+
+
+def test_html_is_linear():
+    """Unclosed elements by the ten thousand, in every position that may be searched."""
+    import time
+
+    from stockbook.llm.html_text import extract
+
+    for text in ("<i><p>x</p>" * 25_000, "<p><div>" + "<i><h2>x</h2>" * 25_000, "<b><div>" + "<i></b>" * 25_000, "<div>" * 50_000 + "x", "<ul><li>" * 25_000, "<li><i>" * 25_000, "<a>" * 50_000 + "x</a>"):
+        began = time.process_time()
+        extract(text, None)
+        assert time.process_time() - began < 2, text[:40]
+
+
+def test_html_never_fails():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from stockbook.llm.html_text import extract
+
+    bits = st.sampled_from(["<", ">", "<!", "<![", "]]>", "--", "<!--", "-->", "&", "&#", ";", "x1", '"', "'", "=", "/", "<div class=", "</div>", "<p>", "</p>", "<script>", "</script>", "<td>", "<article>", " ", "\x00", "é"])
+
+    @settings(max_examples=500, deadline=None)
+    @given(st.lists(bits, max_size=30))
+    def check(parts):
+        text = extract("".join(parts), "")
+        assert text == " ".join(text.split())
+
+    check()
+
+
 def test_html_text_against_a_plain_reading(spark):
     import html
     import re
@@ -311,13 +482,13 @@ def sql_rows(sql, **tables):
     return con.execute(sql).df()
 
 
-def test_rules_and_mixing_match_sql(spark, docs, labels, tmp_path):
-    from stockbook.llm import mixing, quality_rules
+def test_queries_match_sql(spark, docs, labels, tmp_path):
+    from stockbook.llm import mixing, near_dedup, quality_rules, suffix_dedup
 
     docs.where("doc_id <> 7 or doc_id is null").write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     frames = {n: spark.read.parquet(f"{tmp_path}/{n}.parquet").toPandas() for n in ("documents", "labels")}
-    for f, sql in ((quality_rules.op8_quality_rules, quality_rules.ORACLE), (mixing.op6_mixing, mixing.ORACLE)):
+    for f, sql in ((quality_rules.op8_quality_rules, quality_rules.ORACLE), (mixing.op6_mixing, mixing.ORACLE), (suffix_dedup.op2_suffix_dedup, suffix_dedup.ORACLE), (near_dedup.op4_near_dedup, near_dedup.ORACLE)):
         got, want = f(spark, str(tmp_path)).toPandas(), sql_rows(sql, **frames)
         order = list(got.columns)
         pd.testing.assert_frame_equal(got.sort_values(order, ignore_index=True), want[order].sort_values(order, ignore_index=True), check_dtype=False)
@@ -346,9 +517,90 @@ def test_classifiers_on_awkward_rows(docs, labels, name):
     assert score(docs.where("false"), labels).count() == 0
 
 
+def test_quality_scores_by_plain_loops(spark):
+    """Word vectors, features and network of op9, token by token."""
+    import re
+
+    import pyarrow as pa
+
+    from stockbook.llm import quality_classifier as qc
+    from stockbook.llm.hashing import U, prefix_sums, span_hashes
+
+    texts = ["one two, two three!", "", None, "ñandú one 漢字 two two", "x1 one"]
+    tokens = [re.findall(rb"[A-Za-z0-9\x80-\xff]+|[^ \t\n\x0b\x0c\r]", (t or "").encode()) for t in texts]
+    row = lambda w: int(span_hashes(prefix_sums(np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(w)]))[0] & U(qc.WORDS - 1))
+    rows_ = [[row(w) for w in ws] for ws in tokens]
+    index, total = qc.index_vectors(), np.zeros((qc.WORDS, qc.DIMS))
+    for ws in rows_:
+        for i, w in enumerate(ws):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(ws):
+                    total[w] += index[ws[j]]
+    unit = lambda v: v / np.maximum(np.sqrt((v**2).sum(1, keepdims=True)), 1e-9)
+    want = unit(unit(total) - unit(total).mean(0))
+    vectors = qc.word_vectors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert np.allclose(vectors, want, atol=1e-5)
+    x = qc.pooled(pa.array(texts), vectors)
+    for got, ws in zip(x, rows_, strict=True):
+        n = max(len(ws), 1)
+        mean = sum((want[w] for w in ws), np.zeros(qc.DIMS)) / n
+        pairs = sum((want[a] * want[b] for a, b in zip(ws[:-1], ws[1:], strict=True)), np.zeros(qc.DIMS)) / n
+        assert np.allclose(got, [*mean, *pairs, math.log(1 + len(ws))], atol=1e-5)
+    rng = np.random.default_rng(3)
+    given, y = rng.normal(size=(60, x.shape[1])), (rng.random(60) < 0.5).astype(float)
+    model = qc.fit(given, y)
+    w1, b1, w2, b2 = model["params"]
+    for got, v in zip(qc.scores(model, x), x, strict=True):
+        scaled = [min(8, max(-8, (a - m) / s)) for a, m, s in zip(v, model["mean"], model["spread"], strict=True)]
+        hidden = [math.tanh(sum(a * w for a, w in zip(scaled, w1[:, k], strict=True)) + b1[k]) for k in range(len(b1))]
+        z = sum(h * w for h, w in zip(hidden, w2, strict=True)) + b2[0]
+        assert got == pytest.approx(1 / (1 + math.exp(-z / model["heat"])), abs=1e-6)
+
+
+def test_label_model_by_plain_loops(spark):
+    """EM, correlations and posteriors of op10, pattern by pattern."""
+    from stockbook.llm.toxicity import ROUNDS, VOTERS, label_model, posterior
+
+    rng = np.random.default_rng(11)
+    votes = rng.choice([-1, 0, 1], (40, VOTERS), p=[0.3, 0.5, 0.2])
+    votes[:, 1] = votes[:, 0]
+    n = rng.integers(1, 30, 40)
+    table = spark.createDataFrame([(bytearray(v.astype(np.int8).tobytes()), int(c)) for v, c in zip(votes, n, strict=True)], "pattern binary, n long").repartition(3)
+    prior, rates = 0.1, [[{-1: 0.3, 0: 0.65, 1: 0.05} for _ in range(VOTERS)], [{-1: 0.05, 0: 0.65, 1: 0.3} for _ in range(VOTERS)]]
+
+    def share(v):
+        z = math.log(prior / (1 - prior)) + sum(math.log(rates[1][j][v[j]] / rates[0][j][v[j]]) for j in range(VOTERS))
+        return 1 / (1 + math.exp(-z))
+
+    for _ in range(ROUNDS):
+        p = [share(v) for v in votes]
+        mass = [sum(c * (1 - q) for c, q in zip(n, p, strict=True)), sum(c * q for c, q in zip(n, p, strict=True))]
+        sums = [[{k: sum(c * (q if y else 1 - q) for c, q, v in zip(n, p, votes, strict=True) if v[j] == k) for k in (-1, 0, 1)} for j in range(VOTERS)] for y in (0, 1)]
+        before, prior = rates, min(0.5, max(0.01, mass[1] / sum(mass)))
+        rates = [[{k: (sums[y][j][k] + 0.5) / (mass[y] + 1.5) for k in (-1, 0, 1)} for j in range(VOTERS)] for y in (0, 1)]
+        if max(abs(before[y][j][k] - rates[y][j][k]) for y in (0, 1) for j in range(VOTERS) for k in (-1, 0, 1)) < 1e-3:
+            break
+    model = label_model(table)
+    assert model["prior"] == pytest.approx(prior, abs=1e-9)
+    assert all(model["rates"][y, j, k + 1] == pytest.approx(rates[y][j][k], abs=1e-9) for y in (0, 1) for j in range(VOTERS) for k in (-1, 0, 1))
+    assert model["correlations"][0, 1] > 0.9 and model["weights"][0] < 0.6
+    z = math.log(prior / (1 - prior)) + sum(model["weights"][j] * math.log(rates[1][j][votes[0][j]] / rates[0][j][votes[0][j]]) for j in range(VOTERS))
+    assert posterior(votes[:1], model)[0] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_one_text_for_each_id_is_learnt_from(spark):
+    """A labelled id with many rows sends one of them, whatever the partitions."""
+    from stockbook.llm.quality_classifier import sampled
+
+    table = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, None), (2, ""), (3, "c")], "doc_id long, text string")
+    ids = spark.createDataFrame([(1, 0), (2, 1), (9, 1)], "doc_id long, y int")
+    got = [sorted((r["doc_id"], r["y"], r["text"] or "") for r in sampled(table.repartition(k), ids).collect()) for k in (1, 5)]
+    assert got[0] == got[1] and [g[:2] for g in got[0]] == [(1, 0), (2, 1)]
+
+
 def test_classifiers_on_held_out_rows(spark):
     from stockbook.llm.quality_classifier import op9_quality_classifier
-    from stockbook.llm.toxicity import LEXICON, op10_toxicity
+    from stockbook.llm.toxicity import op10_toxicity
 
     sf = "/root/testdata/sf0.01"
     gold = pd.read_parquet(f"{sf}/labels.parquet")
@@ -358,9 +610,6 @@ def test_classifiers_on_held_out_rows(spark):
     got = op10_toxicity(spark, sf).toPandas().merge(gold, on="doc_id")
     held = got[got.held_out]
     assert (held.predicted[held.toxic == 0] == 0).mean() > 0.97
-    texts = pd.read_parquet(f"{sf}/documents.parquet").set_index("doc_id").text
-    abusive = held[(held.toxic == 1) & held.doc_id.map(lambda d: bool(set(LEXICON) & set(texts[d].lower().replace(".", " ").replace(",", " ").split())))]
-    assert len(abusive) and (abusive.predicted == 1).mean() > 0.9
 
 
 def test_toxicity_recall_by_language(spark):
@@ -371,8 +620,8 @@ def test_toxicity_recall_by_language(spark):
     got = op10_toxicity(spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id").merge(pd.read_parquet(f"{sf}/documents.parquet", columns=["doc_id", "lang"]), on="doc_id")
     held = got[got.held_out]
     recall = held[held.toxic == 1].groupby("lang").predicted.mean()
-    assert set(recall.index) == {"de", "en", "es", "fr"} and (recall > 0.85).all(), recall
-    assert (held.predicted[held.toxic == 0] == 0).mean() > 0.94
+    assert set(recall.index) == {"de", "en", "es", "fr"} and (recall >= 0.9).all() and held.predicted[held.toxic == 1].mean() >= 0.9, recall
+    assert (held.predicted[held.toxic == 0] == 0).mean() > 0.98 and held.toxic[held.predicted == 1].mean() > 0.9
 
 
 def test_stems_of_any_length_and_density(spark):
@@ -408,29 +657,37 @@ def test_label_model_finds_accuracies(spark):
 
 
 def test_lm_scores(spark, docs):
+    """Against a plain loop; and partitions, which make no difference."""
+    import pyarrow as pa
+
     from stockbook.llm import lm_scoring as lm
 
-    vector = lm.train(docs)
-    assert (vector == lm.train(docs.repartition(1))).all() or np.isfinite(vector).all()
-    got = rows(lm.score_documents(docs, vector))
+    words, totals = lm.vocabulary(docs)
+    vector = lm.train(docs, totals, shard=4000)
+    assert np.isfinite(vector).all() and (vector != lm.fresh()).any()
+    for k in (1, 7):
+        assert (vector == lm.train(docs.repartition(k), totals, shard=4000)).all()
+    got = rows(lm.score_documents(docs, vector, totals))
     by = {r["doc_id"]: r for r in got}
     assert len(got) == 10 and by[1]["log_likelihood"] == 0 and by[4]["n_words"] == 30_000 and by[None]["per_word"] == 0
-    net, words = lm.parts(vector), TEXT.split()
-    import pyarrow as pa
-
-    cls = [int(w[0][0]) for w in (next(lm.windows(pa.array([x])))[0:1] for x in words)]
+    net, text = lm.parts(vector), TEXT.split()
+    cls = [int(w[0][0]) for w in (next(lm.windows(pa.array([x])))[0:1] for x in text)]
     total = 0.0
     for i, c in enumerate(cls):
         h = net["b"].astype(float)
         for k, d in enumerate((-2, -1, 1, 2)):
-            near = cls[i + d] if 0 <= i + d < len(cls) else lm.CLASSES
-            h = h + net["e"][near + k * (lm.CLASSES + 1)]
+            near = cls[i + d] % lm.NEAR if 0 <= i + d < len(cls) else lm.NEAR
+            h = h + net["e"][near + k * (lm.NEAR + 1)]
         z = np.tanh(h) @ net["w"] + net["c"]
-        p = z[:32] - np.log(np.exp(z[:32]).sum())
-        q = z[32:] + net["t"][c // 32]
-        total += p[c // 32] + q[c % 32] - np.log(np.exp(q).sum())
+        for k in range(4):
+            step = 16 ** (3 - k)
+            first = c // step // 16 * 16 * step
+            n = np.array([totals[first + j * step : first + (j + 1) * step].sum() + 0.5 for j in range(16)])
+            q = np.log(n / n.sum()) + z[16 * k : 16 * k + 16]
+            total += q[c // step % 16] - np.log(np.exp(q).sum())
     assert by[5]["log_likelihood"] == pytest.approx(total, rel=1e-4)
-    assert lm.score_documents(docs.where("false"), vector).count() == 0 and lm.train(docs.where("false")).shape == vector.shape
+    empty = docs.where("false")
+    assert lm.score_documents(empty, vector, totals).count() == 0 and lm.train(empty, lm.vocabulary(empty)[1]).shape == vector.shape
 
 
 def test_lm_scores_words_not_only_classes(spark, docs, monkeypatch):
@@ -439,8 +696,8 @@ def test_lm_scores_words_not_only_classes(spark, docs, monkeypatch):
 
     from stockbook.llm import lm_scoring as lm
 
-    vector = lm.train(docs)
     words, totals = lm.vocabulary(docs)
+    vector = lm.train(docs, totals)
     texts = [r["text"] or "" for r in rows(docs)]
     counts = Counter(w for t in texts for w in t.lower().split())
     assert words.count() == len(counts) and totals.sum() == sum(counts.values())
@@ -448,7 +705,7 @@ def test_lm_scores_words_not_only_classes(spark, docs, monkeypatch):
     size = Counter()
     for w, n in counts.items():
         size[cls(w)] += n
-    plain = lm.score_documents(docs, vector).toPandas()
+    plain = lm.score_documents(docs, vector, totals).toPandas()
     want = sorted(p + sum(math.log(counts[w] - 0.5) - math.log(size[cls(w)]) for w in t.lower().split()) for p, t in zip(plain.log_likelihood, texts, strict=True))
     for head in (1 << 16, 1):
         monkeypatch.setattr(lm, "HEAD", head)
@@ -462,9 +719,23 @@ def test_lm_scores_words_not_only_classes(spark, docs, monkeypatch):
     assert lm.score_words(docs.where("false"), vector, *lm.vocabulary(docs.where("false"))).count() == 0
 
 
-def test_lm_training_lowers_loss(spark):
+def test_lm_context_helps(spark):
+    """On documents that it wasn't trained on the network beats the model of frequencies by 0.02 nats a word, and needs both sides."""
     from stockbook.llm import lm_scoring as lm
 
-    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    loss = lambda v: lm.score_documents(table, v).agg({"log_likelihood": "sum"}).first()[0]
-    assert loss(lm.train(table)) > loss(lm.fresh())
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
+    seen, unseen = table.where("doc_id % 5 <> 0"), table.where("doc_id % 5 = 0")
+    _, totals = lm.vocabulary(seen)
+
+    def per_word(vector):
+        r = lm.score_documents(unseen, vector, totals).agg({"log_likelihood": "sum", "n_words": "sum"}).first()
+        return r["sum(log_likelihood)"] / r["sum(n_words)"]
+
+    learnt, plain = lm.train(seen, totals), per_word(lm.fresh())
+    print(plain, per_word(learnt))
+    assert per_word(learnt) > plain + 0.02
+    for places in ((0, 1), (2, 3)):
+        half = learnt.copy()
+        for k in places:
+            lm.parts(half)["e"][k * (lm.NEAR + 1) : (k + 1) * (lm.NEAR + 1)] = 0
+        assert per_word(half) < per_word(learnt)
