@@ -1,16 +1,19 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every word from both sides.
 
-Words (lower-cased A-Z, between blanks) are hashed into 32 x 32 classes. The network sums an embedding of each of the two
-words before and the two words after (one table for each place), applies tanh, and predicts the two digits of the
-word's class, the second given the first: log P(class | both sides) = log P(first) + log P(second | first). A table of
-all words of all documents with their counts, which grows with the corpus, gives P(word | class): log P(word | both
-sides) = log P(class | both sides) + log P(word | class). Of each word's count a half goes to unseen words, taken to be
+Words (lower-cased A-Z, between blanks) are hashed into CLASSES = 16 ** 4 classes, named by four digits. The network
+sums an embedding of each of the two words before and the two words after (one table of NEAR rows for each place),
+applies tanh, and predicts the digits one after the other: the logits of a digit are the logarithms of how often the
+corpus has it after the digits before (so a network that has learnt nothing is the model of frequencies), plus what the
+context adds. log P(class | both sides) is the sum over the digits. A table of all words of all documents with their
+counts, which grows with the corpus, gives those frequencies and P(word | class): log P(word | both sides) =
+log P(class | both sides) + log P(word | class). Of each word's count a half goes to unseen words, taken to be
 twice as many as the class's seen ones. A document's score is the sum over its words.
 
-Training covers every document once. In round r the documents whose key hashes to r are trained on, each task
-from the same parameters by Adagrad over its own texts; Spark adds up the tasks' parameters, weighted by their
-words and in fixed point, so the mean is exact in any order. Each task sends one parameter vector of fixed size. Words
-above one in HEAD of all are looked up in the tasks (there can't be more than HEAD of them), all others by a join.
+Training covers every document once. A hash of doc_id and text deals the documents out to ROUNDS rounds and, within a
+round, to shards of about SHARD words, each a task: from the round's parameters it goes by Adagrad over its texts in the
+order of doc_id and text. Spark adds up the shards' parameters, weighted by their words and in fixed point, so the mean
+is exact in any order. Neither partitions nor the order of rows matter. Each shard sends one parameter vector of fixed
+size. Words above one in HEAD of all are looked up in the tasks (there can't be more than HEAD of them), all others by a join.
 
 Defined results: null, empty and blank texts have no words and score 0.0 (and 0.0 per word); places beyond a
 text's ends are a class of their own; repeated rows are trained on as often as they stand and score
@@ -28,21 +31,19 @@ from stockbook.llm.common import settle, table
 from stockbook.llm.hashing import U, blocks, lowered, views, word_hashes
 from stockbook.llm.quality_classifier import added
 
-DIGITS, HIDDEN, ROUNDS, SLICES, BATCH = 32, 16, 2, 64, 4096
-CLASSES = DIGITS * DIGITS
-SHAPES = {"e": (4 * (CLASSES + 1), HIDDEN), "b": (HIDDEN,), "w": (HIDDEN, 2 * DIGITS), "c": (2 * DIGITS,), "t": (DIGITS, DIGITS)}
+DIGIT, DIGITS, NEAR, HIDDEN = 16, 4, 4096, 16
+CLASSES = DIGIT**DIGITS
+ROUNDS, SHARD, SLICES, BATCH = 4, 500_000, 64, 2048
+SHAPES = {"e": (4 * (NEAR + 1), HIDDEN), "b": (HIDDEN,), "w": (HIDDEN, DIGITS * DIGIT), "c": (DIGITS * DIGIT,)}
 SIZE = -(-sum(int(np.prod(s)) for s in SHAPES.values()) // SLICES) * SLICES
 FIXED = 1 << 20
 HEAD = 1 << 16
 
 
 def fresh(seed: int = 3) -> np.ndarray:
-    """Random starting parameters in one vector."""
+    """Starting parameters in one vector: random embeddings that don't change any prediction yet."""
     vector = np.zeros(SIZE, np.float32)
-    net = parts(vector)
-    rng = np.random.default_rng(seed)
-    net["e"][:] = rng.normal(0, 0.1, SHAPES["e"])
-    net["w"][:] = rng.normal(0, 0.1, SHAPES["w"])
+    parts(vector)["e"][:] = np.random.default_rng(seed).normal(0, 0.3, SHAPES["e"])
     return vector
 
 
@@ -56,6 +57,15 @@ def parts(vector: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def frequencies(totals: np.ndarray) -> list[np.ndarray]:
+    """For each digit: the logarithm of its share after each row of digits before it, from the words in each class."""
+    out = []
+    for k in range(1, DIGITS + 1):
+        n = totals.reshape(-1, DIGIT, DIGIT ** (DIGITS - k)).sum(axis=2) + 0.5
+        out.append(np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32))
+    return out
+
+
 def windows(column: pa.Array):
     """(classes of words, rows of the embedding table of their four neighbours, words before each text, hashes of words) by blocks of texts."""
     data, offsets = views(column)
@@ -63,59 +73,76 @@ def windows(column: pa.Array):
         own = offsets[lo : hi + 1]
         hashes, before = word_hashes(lowered(data[own[0] : own[-1]]), own - own[0])
         word = (hashes & U(CLASSES - 1)).astype(np.int32)
-        spaced = np.full(len(word) + 2 * len(before) + 2, CLASSES, np.int32)
+        spaced = np.full(len(word) + 2 * len(before) + 2, NEAR, np.int32)
         at = np.arange(len(word)) + 2 * np.repeat(np.arange(1, len(before)), np.diff(before))
-        spaced[at] = word
-        near = np.stack([spaced[at + d] + k * (CLASSES + 1) for k, d in enumerate((-2, -1, 1, 2))], axis=1)
+        spaced[at] = word & (NEAR - 1)
+        near = np.stack([spaced[at + d] + k * (NEAR + 1) for k, d in enumerate((-2, -1, 1, 2))], axis=1)
         yield word, near, before, hashes
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+#: Adds up the DIGIT columns of each digit.
+BY_DIGIT = np.kron(np.eye(DIGITS, dtype=np.float32), np.ones((DIGIT, 1), np.float32))
 
 
-def forward(net: dict, near: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hidden layer and the log probabilities of first digits, and of second digits given the first."""
+def forward(net: dict, base: list[np.ndarray], near: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hidden layer, flat places of the words' digits among the logits, the logits of each digit after those before
+    (words x DIGITS * DIGIT), and their exponentials."""
     e = net["e"]
-    h = np.tanh(e[near[:, 0]] + e[near[:, 1]] + e[near[:, 2]] + e[near[:, 3]] + net["b"])
-    z = h @ net["w"] + net["c"]
-    return h, log_softmax(z[:, :DIGITS]), log_softmax(z[:, DIGITS:] + net["t"][first])
-
-
-def train_step(net: dict, squares: dict, near: np.ndarray, word: np.ndarray, rate: float = 0.1) -> None:
+    h = e[near[:, 0]]
+    for k in (1, 2, 3):
+        h += e[near[:, k]]
+    h = np.tanh(h + net["b"])
+    z = h @ net["w"]
+    z += net["c"]
+    z[:, :DIGIT] += base[0][0]
+    for k in range(1, DIGITS):
+        z[:, k * DIGIT : (k + 1) * DIGIT] += base[k][word >> (4 * (DIGITS - k))]
+    np.clip(z, -60, 60, out=z)
+    digit = (word[:, None] >> np.arange(4 * (DIGITS - 1), -1, -4)) & (DIGIT - 1)
+    place = (np.arange(len(word)) * (DIGITS * DIGIT))[:, None] + (np.arange(DIGITS) * DIGIT + digit)
+    return h, place, z, np.exp(z)
+
+
+def train_step(net: dict, squares: dict, base: list[np.ndarray], near: np.ndarray, word: np.ndarray, rate: float = 0.05) -> None:
     """One Adagrad step on the words of a batch."""
-    first, second, rows = word // DIGITS, word % DIGITS, np.arange(len(word))
-    h, p, q = forward(net, near, first)
-    d = np.exp(np.concatenate([p, q], axis=1))
-    d[rows, first] -= 1
-    d[rows, DIGITS + second] -= 1
-    d /= len(word)
+    h, place, _, d = forward(net, base, near, word)
+    scale = np.float32(1 / len(word))
+    d *= np.repeat(scale / (d @ BY_DIGIT), DIGIT, axis=1)
+    d.ravel()[place] -= scale
     back = (d @ net["w"].T) * (1 - h * h)
     flat = near.ravel()
     order = np.argsort(flat.astype(np.uint16), kind="stable")
-    begin = np.flatnonzero(np.diff(flat[order], prepend=-1))
-    touched = flat[order][begin]
-    grads = {"b": back.sum(0), "w": h.T @ d, "c": d.sum(0), "t": np.eye(DIGITS, dtype=np.float32)[first].T @ d[:, DIGITS:]}
-    for name, g in grads.items():
+    new = np.diff(flat[order], prepend=-1) != 0
+    touched = flat[order][new]
+    row = np.empty(len(flat), np.int64)
+    row[order] = np.cumsum(new) - 1
+    for name, g in {"b": back.sum(0), "w": h.T @ d, "c": d.sum(0)}.items():
         squares[name] += g * g
         net[name] -= rate * g / np.sqrt(squares[name] + 1e-8)
-    g = np.add.reduceat(back[order // 4], begin, axis=0)
-    squares["e"][touched] += g * g
-    net["e"][touched] -= rate * g / np.sqrt(squares["e"][touched] + 1e-8)
+    four = np.repeat(back, 4, axis=0).T
+    g = np.stack([np.bincount(row, c) for c in four], axis=1).astype(np.float32)
+    total = squares["e"][touched] + g * g
+    squares["e"][touched] = total
+    net["e"][touched] -= rate * g / np.sqrt(total + 1e-8)
 
 
-def train_share(start):
-    """Each task's trained parameters times its weight, in fixed point and in slices; slice -1 is the weight."""
+def train_shard(start):
+    """The shard's trained parameters times its weight, in fixed point and in slices; slice -1 is the weight."""
 
     def run(batches):
-        vector = start.value.copy()
+        vector, base = start.value[0].copy(), start.value[1]
         net, squares, seen = parts(vector), parts(np.zeros(SIZE, np.float32)), 0
+        left = np.zeros((0, 4), np.int32), np.zeros(0, np.int32)
         for batch in batches:
             for word, near, _, _ in windows(batch.column("text")):
-                for lo in range(0, len(word), BATCH):
-                    train_step(net, squares, near[lo : lo + BATCH], word[lo : lo + BATCH])
-                seen += len(word)
+                near, word = np.concatenate([left[0], near]), np.concatenate([left[1], word])
+                full = len(word) - len(word) % BATCH
+                for lo in range(0, full, BATCH):
+                    train_step(net, squares, base, near[lo : lo + BATCH], word[lo : lo + BATCH])
+                seen, left = seen + full, (near[full:], word[full:])
+        if len(left[1]):
+            train_step(net, squares, base, *left)
+            seen += len(left[1])
         if seen:
             weight = -(-seen // BATCH)
             fixed = np.rint(vector.astype(np.float64) * FIXED).astype(np.int64) * weight
@@ -125,27 +152,28 @@ def train_share(start):
     return run
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """The parameters after all rounds."""
-    spark, vector = docs.sparkSession, fresh()
-    turn = F.pmod(F.xxhash64("doc_id"), F.lit(rounds))
+def train(docs: DataFrame, totals: np.ndarray, rounds: int = ROUNDS, shard: int = SHARD) -> np.ndarray:
+    """The parameters after all rounds. totals: the words of docs in each class."""
+    spark, vector, base = docs.sparkSession, fresh(), frequencies(totals)
+    shards = max(1, -(-int(totals.sum()) // (rounds * shard)))
+    deal = F.xxhash64("doc_id", "text")
+    dealt = docs.select("doc_id", "text", F.pmod(deal, F.lit(rounds)).alias("round"), F.pmod(F.shiftright(deal, 8), F.lit(shards)).cast("int").alias("shard"))
     for r in range(rounds):
-        start = spark.sparkContext.broadcast(vector)
-        shares = docs.where(turn == r).select("text").mapInArrow(train_share(start), "slice int, sums binary")
-        rows = {x["slice"]: np.frombuffer(x["sums"], np.int64) for x in shares.repartition("slice").mapInArrow(added, "slice int, sums binary").collect()}
+        start = spark.sparkContext.broadcast((vector, base))
+        own = dealt.where(F.col("round") == r).repartitionById(shards, "shard").sortWithinPartitions("doc_id", "text").select("text")
+        sums = own.mapInArrow(train_shard(start), "slice int, sums binary")
+        rows = {x["slice"]: np.frombuffer(x["sums"], np.int64) for x in sums.repartition("slice").mapInArrow(added, "slice int, sums binary").collect()}
         if rows:
             vector = (np.concatenate([rows[k] for k in range(SLICES)]) / (rows[-1][0] * FIXED)).astype(np.float32)
     return vector
 
 
-def class_scores(net: dict, word: np.ndarray, near: np.ndarray) -> np.ndarray:
+def class_scores(net: dict, base: list[np.ndarray], word: np.ndarray, near: np.ndarray) -> np.ndarray:
     """log P(class | both sides) of each word."""
     value = np.zeros(len(word))
     for lo in range(0, len(word), BATCH):
-        w = word[lo : lo + BATCH]
-        first, rows = w // DIGITS, np.arange(len(w))
-        _, p, q = forward(net, near[lo : lo + BATCH], first)
-        value[lo : lo + BATCH] = p[rows, first].astype(np.float64) + q[rows, w % DIGITS]
+        _, place, z, e = forward(net, base, near[lo : lo + BATCH], word[lo : lo + BATCH])
+        value[lo : lo + BATCH] = (z.ravel()[place] - np.log(e @ BY_DIGIT)).sum(axis=1, dtype=np.float64)
     return value
 
 
@@ -195,21 +223,20 @@ def score_words(docs: DataFrame, vector: np.ndarray, words: DataFrame, totals: n
     order = np.argsort(key)
     base = np.log(np.maximum(totals, 1))
     price = np.rint((np.log(np.array([r["n"] for r in head], float) - 0.5) - base[(key & U(CLASSES - 1)).astype(int)]) * FIXED).astype(np.int64)
-    shared = spark.sparkContext.broadcast((vector, key[order], price[order]))
+    shared = spark.sparkContext.broadcast((vector, frequencies(totals), key[order], price[order]))
 
     def run(batches):
-        vector, known, price = shared.value
+        vector, prior, known, price = shared.value
         net = parts(vector)
         for batch in batches:
             done = 0
             for word, near, before, hashes in windows(batch.column("text")):
                 docs_, count = len(before) - 1, np.diff(before)
                 text = np.repeat(np.arange(docs_), count)
-                value = np.bincount(text, class_scores(net, word, near), docs_)
+                value = np.bincount(text, class_scores(net, prior, word, near), docs_)
                 at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
                 hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-                sums = np.zeros(docs_, np.int64)
-                np.add.at(sums, text[hit], price[at[hit]])
+                sums = np.bincount(text[hit], price[at[hit]], docs_).astype(np.int64)  # exact: far below 2 ** 53
                 text, rare = text[~hit], hashes[~hit]
                 order = np.lexsort((rare, text))
                 text, rare = text[order], rare[order]
@@ -233,16 +260,16 @@ def score_words(docs: DataFrame, vector: np.ndarray, words: DataFrame, totals: n
     return both.select("doc_id", "n_words", total.alias("log_likelihood"), (total / F.greatest("n_words", F.lit(1))).alias("per_word"))
 
 
-def score_documents(docs: DataFrame, vector: np.ndarray) -> DataFrame:
+def score_documents(docs: DataFrame, vector: np.ndarray, totals: np.ndarray) -> DataFrame:
     """doc_id, n_words, log_likelihood of the words' classes and per_word for every row of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vector)
+    shared = docs.sparkSession.sparkContext.broadcast((vector, frequencies(totals)))
 
     def run(batches):
-        net = parts(shared.value)
+        net, prior = parts(shared.value[0]), shared.value[1]
         for batch in batches:
             counts, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
             for word, near, before, _ in windows(batch.column("text")):
-                value = class_scores(net, word, near)
+                value = class_scores(net, prior, word, near)
                 counts.append(np.diff(before))
                 text = np.repeat(np.arange(len(before) - 1), counts[-1])
                 sums.append(np.bincount(text, value, len(before) - 1))
@@ -254,4 +281,5 @@ def score_documents(docs: DataFrame, vector: np.ndarray) -> DataFrame:
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_words(docs, train(docs), *vocabulary(docs))
+    words, totals = vocabulary(docs)
+    return score_words(docs, train(docs, totals), words, totals)
