@@ -1,14 +1,12 @@
 """Quality rules: base counts and a hashed n-gram log-likelihood ratio, with built-in functions only.
 
-An n-gram is made of word ends: the last three code points of a word (n = 1) and those of two words
-that follow each other (n = 2), each hashed into a range of buckets. Two multinomials over the buckets
-are compared: the trusted target (texts that labels call good) and the raw corpus (all texts). A
-document's score is its mean log ratio in thousandths; every document whose score is at least
-`least` is kept.
+N-grams are whole words (n = 1) and two words that follow each other (n = 2), each hashed into a range of
+buckets: crc32 of a word, and of the buckets of both. Two multinomials over the buckets are compared: the
+trusted target (texts that labels call good) and the raw corpus (all texts). A document's score is its mean
+log ratio in thousandths; every document whose score is at least `least` is kept.
 
-The raw counts cover every document. The target is fitted on at most `trusted_rows` labelled rows,
-those first by md5 of doc_id, which bounds the broadcast. The table of log ratios has 2 * `buckets`
-integers whatever the input.
+Both multinomials are counted over all their documents. The trusted ids are broadcast only when counted to be
+at most BROADCAST_IDS, else joined by a shuffle. The table of log ratios has 2 * `buckets` integers whatever the input.
 
 Defined results: null and blank texts count 0 everywhere and fail the base rules; without labels all
 log ratios are 0; null doc_ids are never trusted; repeated rows are judged alike; an empty table gives
@@ -24,35 +22,31 @@ from pyspark.sql import functions as F
 
 from stockbook.llm.common import BLANKS, words
 
-BUCKETS = 8192
-LEAST = -300
-TRUSTED_ROWS = 20_000
+BUCKETS = 32768
+LEAST = -250
+BROADCAST_IDS = 500_000
 SYMBOLS = "#*$%&|<>"
 
 
-def word_ends(ws: Column, buckets: int = BUCKETS) -> Column:
-    """A bucket for the last three code points of each word."""
-    point = lambda w, k: F.ascii(F.substring(w, k, 1)).cast("long")
+def word_buckets(ws: Column, buckets: int = BUCKETS) -> Column:
+    """A bucket for each word."""
+    return F.transform(ws, lambda w: F.crc32(w.cast("binary")) % buckets)
 
-    def end(w: Column) -> Column:
-        tail = F.substring(w, -3, 3)
-        return ((point(tail, 1) * 31 + point(tail, 2)) * 31 + point(tail, 3)) % buckets
 
-    return F.transform(ws, end)
+def ngrams(ones: Column, buckets: int = BUCKETS) -> Column:
+    """Buckets of single words, then of two that follow each other."""
+    after = F.slice(ones, 2, F.greatest(F.size(ones) - 1, F.lit(0)))
+    pairs = F.zip_with(F.slice(ones, 1, F.greatest(F.size(ones) - 1, F.lit(0))), after, lambda a, b: (a * 31 + b) % buckets + buckets)
+    return F.concat(ones, pairs)
 
 
-def ngrams(ends: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of one word end, then of two that follow each other."""
-    after = F.slice(ends, 2, F.greatest(F.size(ends) - 1, F.lit(0)))
-    pairs = F.zip_with(F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))), after, lambda a, b: (a * 31 + b) % buckets + buckets)
-    return F.concat(ends, pairs)
-
-
-def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """n-grams per bucket: bucket, raw, good. trusted: at most TRUSTED_ROWS doc_ids."""
-    mine = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
-    ends = mine.select("good", word_ends(words(F.col("text")), buckets).alias("ends"))
-    return ends.select("good", F.explode(ngrams(F.col("ends"), buckets)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good"))
+def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """n-grams per bucket: bucket, raw, good. trusted: distinct doc_ids."""
+    ids = trusted.select("doc_id", F.lit(1).alias("good"))
+    ids = F.broadcast(ids) if trusted.count() <= broadcast_ids else ids
+    mine = docs.select("doc_id", "text").join(ids, "doc_id", "left")
+    ones = mine.select("good", word_buckets(words(F.col("text")), buckets).alias("ones"))
+    return ones.select("good", F.explode(ngrams(F.col("ones"), buckets)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good"))
 
 
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> Column:
@@ -97,9 +91,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, least: int = LEAST) -> DataFrame:
@@ -108,7 +101,7 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, least: in
     names = [F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns)]
     ratios = log_ratios(bucket_counts(docs, trusted, buckets), buckets)
     inner = docs.select(*names, F.col("text").alias("text"))
-    counted = base_counts(inner).withColumn("ends_", word_ends(F.col("words_"), buckets)).withColumn("grams_", ngrams(F.col("ends_"), buckets))
+    counted = base_counts(inner).withColumn("ones_", word_buckets(F.col("words_"), buckets)).withColumn("grams_", ngrams(F.col("ones_"), buckets))
     total = F.aggregate("grams_", F.lit(0).cast("long"), lambda a, g: a + F.get(ratios, g.cast("int")))
     scored = counted.withColumns({"n_grams": F.size("grams_").cast("long"), "score": total})
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -130,10 +123,15 @@ JUDGE_SQL = """
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM {docs}),
 split AS (SELECT r, doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM texts),
 word AS (SELECT r, doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM split),
-ended AS (SELECT *, ((ascii(substr(right(w, 3), 1, 1))::BIGINT * 31 + ascii(substr(right(w, 3), 2, 1))) * 31 + ascii(substr(right(w, 3), 3, 1))) % 8192 AS e FROM word),
+octets AS (SELECT w, list_transform(range(length(hex(w)) // 2), lambda i: ('0x' || substr(hex(w), (2 * i + 1)::INT, 2))::BIGINT) AS bs FROM (SELECT DISTINCT w FROM word)),
+hashed AS MATERIALIZED (  -- crc32, bit by bit
+  SELECT w, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, bs),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) % 32768 AS e
+  FROM octets),
+ended AS (SELECT word.*, e FROM word JOIN hashed USING (w)),
 follow AS (SELECT *, lead(e) OVER (PARTITION BY r ORDER BY i) AS e2, lead(w, 1) OVER d AS w1, lead(w, 2) OVER d AS w2, lead(w, 3) OVER d AS w3, lead(w, 4) OVER d AS w4 FROM ended WINDOW d AS (PARTITION BY r ORDER BY i)),
-grams AS (SELECT r, doc_id, e AS g FROM follow UNION ALL SELECT r, doc_id, (e * 31 + e2) % 8192 + 8192 FROM follow WHERE e2 IS NOT NULL),
-trusted AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) ORDER BY md5(doc_id::VARCHAR) LIMIT 20000),
+grams AS (SELECT r, doc_id, e AS g FROM follow UNION ALL SELECT r, doc_id, (e * 31 + e2) % 32768 + 32768 FROM follow WHERE e2 IS NOT NULL),
+trusted AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL),
 counts AS (SELECT g, count(*) AS raw, count(t.doc_id) AS good FROM grams LEFT JOIN trusted t ON grams.doc_id = t.doc_id GROUP BY g),
 ratios AS (SELECT g, floor(1000 * ln((good + 0.5) / (raw * (SELECT sum(good) FROM counts)::DOUBLE / (SELECT sum(raw) FROM counts)::DOUBLE + 0.5)) + 0.5)::BIGINT AS v FROM counts),
 scores AS (SELECT r, count(*) AS n_grams, sum(v)::BIGINT AS score FROM grams JOIN ratios USING (g) GROUP BY r),
@@ -149,4 +147,4 @@ judged AS (
 """
 
 ORACLE = JUDGE_SQL.format(docs="documents") + """
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND score >= -300 * n_grams AS kept, n_grams, score FROM judged"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND score >= -250 * n_grams AS kept, n_grams, score FROM judged"""
