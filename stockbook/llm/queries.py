@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from stockbook.llm import html_text, lm_scoring, media, mixing, near_dedup, pieces, quality_classifier, quality_rules, suffix_dedup, toxicity, whitening
+from stockbook.llm import byte_bpe, html_text, lm_scoring, media, mixing, near_dedup, pieces, quality_classifier, quality_rules, suffix_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -13,6 +13,7 @@ QUERIES = {
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op11_byte_bpe": byte_bpe.op11_byte_bpe,
     "op13_whitening": whitening.op13_whitening,
 }
 ORACLE_SQL = {
