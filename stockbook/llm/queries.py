@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from stockbook.llm import byte_bpe, html_text, lm_scoring, media, mixing, near_dedup, pieces, quality_classifier, quality_rules, suffix_dedup, toxicity, whitening
+from stockbook.llm import byte_bpe, html_text, lm_scoring, media, mixing, near_dedup, pieces, quality_classifier, quality_rules, spelling, suffix_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_whitening": whitening.op13_whitening,
 }
 ORACLE_SQL = {
@@ -21,4 +22,5 @@ ORACLE_SQL = {
     "op4_near_dedup": near_dedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
 }
