@@ -16,9 +16,8 @@ LICENSE_RULES = (
     (("mozilla",), "MPL-2.0"),
     (("mpl",), "MPL-2.0"),
 )
-#: A name as PEP 508 has it, and what may follow it directly: extras, then a comparison and a version.
-REQUIRED = r"\p{Alnum}[\w.\-]*"
-COMPARED = r"^(?:\[[^\]]+\])?\s*(?:[=!~<>]=|[<>])\s*([\p{Alnum}.*\-]+)"
+#: Characters of a package name and of a version in requirement lines.
+NAME_CHARACTERS, VERSION_CHARACTERS = r"[\w.\-]", r"[\p{Alnum}.*\-]"
 VALID_PURL = r"^pkg:[A-Za-z][A-Za-z0-9.+-]*/(?:@?[^/@\s^~=]+/)*[^/@\s^~=]+(?:@[^/@\s^~=]+)?$"
 INTERPOLATIONS = 5
 
@@ -121,8 +120,25 @@ def npm_name_from_path(p: Column) -> Column:
     return F.when(F.contains(p, F.lit("node_modules/")), F.substring_index(p, "node_modules/", -1)).otherwise(F.substring_index(p, "/", -1))
 
 
+def leading_name(line: Column) -> Column:
+    """The name at the beginning of a requirement: up to the first character that no name has; '' if it begins otherwise."""
+    run = F.regexp_extract(line, f"^{NAME_CHARACTERS}*", 0)
+    return F.when(F.substr(run, F.lit(1), F.lit(1)).rlike(r"\p{Alnum}"), run).otherwise("")
+
+
+def compared_version(after: Column) -> Column:
+    """The first version that what follows a name compares with, extras in brackets left out; '' if there is none."""
+    inner = F.substr(F.substring_index(after, "]", 1), F.lit(2))
+    extras = F.startswith(after, F.lit("[")) & F.contains(after, F.lit("]")) & (inner != "")
+    rest = F.regexp_replace(F.when(extras, F.substr(after, F.length(inner) + 3)).otherwise(after), r"^\s+", "")
+    first, second = F.substr(rest, F.lit(1), F.lit(1)), F.substr(rest, F.lit(2), F.lit(1))
+    sign = F.when(first.isin("=", "!", "~", "<", ">") & (second == "="), 2).when(first.isin("<", ">"), 1).otherwise(0)
+    version = F.regexp_extract(F.regexp_replace(F.substr(rest, sign + 1), r"^\s+", ""), f"^{VERSION_CHARACTERS}+", 0)
+    return F.when(sign > 0, version).otherwise("")
+
+
 def requirement_name(s: Column) -> Column:
-    return blank_to_null(pep503_normalize(F.regexp_extract(s, rf"^\s*({REQUIRED})", 1)))
+    return blank_to_null(pep503_normalize(leading_name(F.regexp_replace(s, r"^\s+", ""))))
 
 
 def parse_scope(s: Column) -> Column:
@@ -138,8 +154,11 @@ def maven_pom_url(group: Column, artifact: Column, version: Column) -> Column:
 
 
 def line_col(content: Column, offset: Column) -> Column:
-    """struct(line, col) of a character offset, both from 1, in code points; null beyond the end."""
-    ahead = F.substr(content, F.lit(1), offset)
+    """struct(line, col) of a byte offset into the text's UTF-8, both from 1; columns count graphemes, and an offset inside of a
+    grapheme belongs to the next column. Null beyond the end."""
+    data = F.encode(content, "UTF-8")
+    inside = F.regexp_extract(F.hex(F.substring(data, offset + 1, F.lit(3))), "^(?:[89AB].)*", 0)  # the rest of a character that has begun
+    ahead = F.substring(data, F.lit(1), offset + (F.length(inside) / 2).cast("int")).cast("string")
     line = F.length(ahead) - F.length(F.translate(ahead, "\n", "")) + 1
-    col = F.length(F.substring_index(ahead, "\n", -1)) + 1
-    return F.when((offset >= 0) & (offset < F.length(content)), F.struct(line.cast("int").alias("line"), col.cast("int").alias("col")))
+    col = F.size(F.regexp_extract_all(F.substring_index(ahead, "\n", -1), F.lit(r"\X"), F.lit(0))) + 1
+    return F.when((offset >= 0) & (offset < F.octet_length(content)), F.struct(line.cast("int").alias("line"), col.cast("int").alias("col")))

@@ -136,9 +136,9 @@ def mvn_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pom_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Region, nation (parent by path) and customer (parent by coordinates) POMs."""
+    """Region, nation (parent by path) and customer (parent by coordinates) POMs, each dependency on a line of its own."""
     tag = lambda name, value: text(f"<{name}>", value, f"</{name}>")
-    dep = lambda a, version=None: text("<dependency><groupId>com.lib</groupId>", tag("artifactId", a), *([tag("version", version)] if version is not None else []), "</dependency>")
+    dep = lambda a, version=None: text("\n <!--é--><dependency><groupId>com.lib</groupId>", tag("artifactId", a), *([tag("version", version)] if version is not None else []), "</dependency>")
     pom = lambda *parts: text("<project>", *parts, "</project>")
     managed = lambda *deps: text("<dependencyManagement><dependencies>", *deps, "</dependencies></dependencyManagement>")
     rk, nk, ck = F.col("r_regionkey"), F.col("n_nationkey"), F.col("c_custkey")

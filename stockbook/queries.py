@@ -176,18 +176,22 @@ def mvn_tree_components(spark, sf_dir):
 
 POMS = """
 WITH c AS (SELECT c_custkey AS ck, n_nationkey AS nk, n_regionkey AS rk FROM customer JOIN nation ON c_nationkey = n_nationkey),
+places AS (SELECT *, 'c' || ck || '/pom.xml' AS path, 'r' || rk || '/pom.xml' AS region_pom, 'r' || rk || '/n' || nk || '/pom.xml' AS nation_pom FROM c),
 d AS (
-  SELECT ck, 'a' || (ck % 5) AS name, CASE WHEN ck % 3 = 0 THEN 'OVR' ELSE 'R' || rk || '.0' END AS version FROM c
-  UNION ALL SELECT ck, 'b', 'N' || nk || '.R' || rk || '.0' FROM c
-  UNION ALL SELECT ck, 'c', 'C' || ck FROM c UNION ALL SELECT ck, 'd', NULL FROM c UNION ALL SELECT ck, 'e', NULL FROM c),
-p AS (SELECT 'c' || ck || '/pom.xml' AS path, name, version, 'pkg:maven/com.lib/' || name || coalesce('@' || version, '') AS purl FROM d)
+  SELECT path, 'a' || (ck % 5) AS name, CASE WHEN ck % 3 = 0 THEN 'OVR' ELSE 'R' || rk || '.0' END AS version, region_pom AS loc_file, ck % 5 + 2 AS line, '${base.version}' AS written FROM places
+  UNION ALL SELECT path, 'b', 'N' || nk || '.R' || rk || '.0', nation_pom, 2, '${nat.version}' FROM places
+  UNION ALL SELECT path, 'c', 'C' || ck, path, 4, '${own.version}' FROM places UNION ALL SELECT path, 'd', NULL, path, 5, '${missing}' FROM places UNION ALL SELECT path, 'e', NULL, path, 6, NULL FROM places),
+p AS (
+  SELECT *, 'pkg:maven/com.lib/' || name || coalesce('@' || version, '') AS purl, length(' <!--é-->') + 1 AS col,
+    length('<dependency><groupId>com.lib</groupId><artifactId>' || name || '</artifactId>' || coalesce('<version>' || written || '</version>', '') || '</dependency>') AS size FROM d)
 """
 
 
-@query(POMS + "SELECT path, name, version, purl, " + iid("purl", "path") + " AS instance_id FROM p")
+@query(POMS + "SELECT path, name, version, purl, " + iid("purl", "loc_file") + " AS instance_id, loc_file, line::BIGINT AS line, col::BIGINT AS start_col, (col + size)::BIGINT AS end_col FROM p")
 def pom_components(spark, sf_dir):
     out = maven.pom_components(maven.parse_pom(i.pom_files(spark, sf_dir)))
-    return out.select(F.col("src_path").alias("path"), "name", "version", "purl", "instance_id")
+    place = {"line": "start.line", "start_col": "start.col", "end_col": "end.col"}
+    return out.select(F.col("src_path").alias("path"), "name", "version", "purl", "instance_id", "loc_file", *[F.col(f"loc.{c}").cast("long").alias(n) for n, c in place.items()])
 
 
 @query("""
@@ -203,12 +207,12 @@ def inherited_properties(spark, sf_dir):
 
 
 @query("""
-WITH n AS (SELECT 'r' || n_regionkey || '/n' || n_nationkey || '/pom.xml' AS path, n_nationkey AS nk FROM nation),
-p AS (SELECT 'r' || r_regionkey || '/pom.xml' AS path, 0 AS own FROM region UNION ALL SELECT path, 1 FROM n UNION ALL SELECT 'c' || c_custkey || '/pom.xml', 1 FROM customer JOIN n ON c_nationkey = nk)
-SELECT path, i AS pos, 'a' || i AS name FROM p, range(5) t(i) UNION ALL SELECT path, 5, 'b' FROM p WHERE own = 1""")
+WITH n AS (SELECT 'r' || n_regionkey || '/n' || n_nationkey || '/pom.xml' AS path, 'r' || n_regionkey || '/pom.xml' AS top, n_nationkey AS nk FROM nation),
+p AS (SELECT 'r' || r_regionkey || '/pom.xml' AS path, path AS top, NULL AS near, 0 AS own FROM region UNION ALL SELECT path, top, path, 1 FROM n UNION ALL SELECT 'c' || c_custkey || '/pom.xml', top, path, 1 FROM customer JOIN n ON c_nationkey = nk)
+SELECT path, i AS pos, top AS at, 'a' || i AS name FROM p, range(5) t(i) UNION ALL SELECT path, 5, near, 'b' FROM p WHERE own = 1""")
 def inherited_management(spark, sf_dir):
     out = maven.inherited_management(maven.parse_pom(i.pom_files(spark, sf_dir)))
-    return out.select("path", F.col("pos").cast("long").alias("pos"), F.col("artifactId").alias("name"))
+    return out.select("path", F.col("pos").cast("long").alias("pos"), "at", F.col("artifactId").alias("name"))
 
 
 @query("""
@@ -460,11 +464,20 @@ def normalize_license(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT doc_id, substr(text, 1, n_chars // 2) AS a FROM documents WHERE text IS NOT NULL AND n_chars // 2 < length(text))
-SELECT doc_id, length(a) - length(replace(a, chr(10), '')) + 1 AS line, length(string_split(a, chr(10))[-1]) + 1 AS col FROM t""")
+WITH t AS (SELECT doc_id, replace(replace(text, 'er', 'e' || chr(769) || 'r'), '. ', '.' || chr(13) || chr(10) || chr(128105) || chr(8205) || chr(128105) || ' ') AS s FROM documents),
+o AS (SELECT DISTINCT doc_id, s, octet_length(encode(s)) * (k + 1) // 8 AS o FROM t, range(7) r(k) WHERE s <> ''),
+c AS (SELECT doc_id, generate_subscripts(cs, 1) AS i, unnest(cs) AS c FROM (SELECT doc_id, regexp_extract_all(s, '(?s).') AS cs FROM t WHERE s <> '')),
+ends AS (SELECT doc_id, i, sum(octet_length(encode(c))) OVER (PARTITION BY doc_id ORDER BY i) - octet_length(encode(c)) AS first FROM c),
+ahead AS (SELECT o.doc_id, o.o, count(*) FILTER (first < o.o) AS k FROM o JOIN ends USING (doc_id) GROUP BY ALL),
+p AS (SELECT doc_id, o, array_to_string(regexp_extract_all(s, '(?s).')[1:k], '') AS a FROM ahead JOIN t USING (doc_id))
+SELECT doc_id, o AS "offset", length(a) - length(replace(a, chr(10), '')) + 1 AS line, length_grapheme(string_split(a, chr(10))[-1]) + 1 AS col FROM p""")
 def line_col(spark, sf_dir):
-    at = s.line_col(F.col("text"), F.floor(F.col("n_chars") / 2).cast("int"))
-    return i.table(spark, sf_dir, "documents").select("doc_id", at.alias("p")).where("p is not null").select("doc_id", F.col("p.line").cast("long").alias("line"), F.col("p.col").cast("long").alias("col"))
+    """Seven byte offsets of each text; its texts are given combining marks, joined signs and line ends of two characters, so offsets fall inside of characters and graphemes."""
+    marked = F.replace(F.replace("text", F.lit("er"), F.lit("e\u0301r")), F.lit(". "), F.lit(".\r\n\U0001F469\u200D\U0001F469 "))
+    texts = i.table(spark, sf_dir, "documents").select("doc_id", marked.alias("s")).where("s <> ''")
+    each = texts.select("doc_id", "s", F.explode(F.array(*[F.floor(F.octet_length("s") * k / 8).cast("int") for k in range(1, 8)])).alias("offset")).distinct()
+    out = each.select("doc_id", F.col("offset").cast("long").alias("offset"), s.line_col(F.col("s"), F.col("offset")).alias("p"))
+    return out.select("doc_id", "offset", F.col("p.line").cast("long").alias("line"), F.col("p.col").cast("long").alias("col"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'given' ELSE " + iid("('pkg:x/p' || l_partkey)", "('f' || l_orderkey || ':' || l_linenumber || ':1')") + " END AS id FROM lineitem")

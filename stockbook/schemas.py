@@ -7,7 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COMPONENTS = ("scan_id", "ecosystem", "src_path", "grp", "type", "name", "version", "purl", "instance_id", "loc_file", "ord")
+COMPONENTS = ("scan_id", "ecosystem", "src_path", "grp", "type", "name", "version", "purl", "instance_id", "loc_file", "loc", "ord")
+#: Where a component stands in loc_file: lines and columns from 1, the end being what follows.
+LOC = "struct<start: struct<line: int, col: int>, end: struct<line: int, col: int>>"
 EDGES = ("scan_id", "parent_id", "child_id", "ord")
 
 
@@ -21,8 +23,8 @@ class Parsed(NamedTuple):
 def components(df: DataFrame, ecosystem: str | Column, **columns: Column) -> DataFrame:
     """df in the columns of COMPONENTS; what isn't named is taken from df or null."""
     given = {"ecosystem": F.lit(ecosystem) if isinstance(ecosystem, str) else ecosystem, "type": F.lit("library"), **columns}
-    null = F.lit(None).cast("string")
-    pick = lambda c: given.get(c, F.col(c) if c in df.columns else (F.lit(0).cast("long") if c == "ord" else null))
+    absent = {"ord": F.lit(0).cast("long"), "loc": F.lit(None).cast(LOC)}
+    pick = lambda c: given.get(c, F.col(c) if c in df.columns else absent.get(c, F.lit(None).cast("string")))
     return df.select(*[pick(c).alias(c) for c in COMPONENTS])
 
 
