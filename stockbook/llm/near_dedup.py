@@ -3,7 +3,7 @@
 A document's set holds 64-bit hashes of its distinct word shingles. Texts with equal sets are one
 class (told by 128 bits), so copies meet in an aggregation and are never paired. Each class gets BUCKETS
 registers: for the smallest hash in a bucket, the position of its leading one and the next ten bits (HyperMinHash).
-Runs of `rows` registers form bands; classes that share a band are candidates. Within a band all meet
+For banding, empty registers borrow from full ones, so that no band says less than `rows` registers do. Runs of `rows` registers form bands; classes that share a band are candidates. Within a band all meet
 one class (a star, linear in the band): first the one whose bands are the most crowded, which stands in the middle of
 its group, then, in STARS - 1 further turns, one of the others drawn by hash, each time only those of other
 components. A class that has met all others leaves the band, so bands of up to STARS + 1 classes are done. What
@@ -15,7 +15,7 @@ corrected estimate drops candidates whose similarity lies six standard errors be
 decided on the full sets, built from the whole texts. The links of a class with many are dealt to many tasks.
 
 With 336 registers a pair exactly at 0.85 shares no band with probability (1 - 0.85**7)**48 < 1e-8,
-one at 0.8 with (1 - 0.8**6)**56 < 1e-7.
+one at 0.8 with (1 - 0.8**6)**56 < 1e-7; borrowed registers agree as often as full ones, so this holds for small sets too.
 
 Defined results: A-Z are lower-cased; a text with fewer words than a shingle has its whole sequence as
 its one element; null, empty and blank texts have no element and are linked with nothing; repeated
@@ -75,11 +75,28 @@ def registers(elements: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     return out
 
 
+#: The order in which an empty bucket looks at the others.
+_ORDER = mixed(np.arange(1, BUCKETS * BUCKETS + 1, dtype=U) * _SALT[41]).reshape(BUCKETS, BUCKETS)
+
+
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Registers of which the empty ones hold that of another bucket and its place: the first full one in an order of
+    their own. Two sets agree there if the first that is full in either is full and the same in both, so as often as
+    in full buckets; small sets so have bands of as many independent registers as large ones."""
+    out = regs.astype(U)
+    empty, full = np.flatnonzero(regs == 0), np.flatnonzero(regs)
+    if len(empty) and len(full):
+        source = full[_ORDER[np.ix_(empty, full)].argmin(axis=1)]
+        out[empty] = out[source] | (source.astype(U) + U(1)) << U(16)
+    return out
+
+
 def band_keys(regs: np.ndarray, rows: int) -> np.ndarray:
-    """A key for each band with a register that isn't empty."""
-    grid = regs.reshape(-1, rows).astype(U)
-    keys = mixed((mixed(grid + U(1)) * _SALT[:rows]).sum(axis=1) + np.arange(len(grid), dtype=U) * _SALT[40])
-    return keys[grid.any(axis=1)].view(np.int64)
+    """A key for each band; an empty set has none."""
+    if not regs.any():
+        return np.zeros(0, np.int64)
+    grid = filled(regs).reshape(-1, rows)
+    return mixed((mixed(grid + U(1)) * _SALT[:rows]).sum(axis=1) + np.arange(len(grid), dtype=U) * _SALT[40]).view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,25 +199,28 @@ def beside(pairs: DataFrame, side: DataFrame, x: str, column: str) -> DataFrame:
     return dealt.join(spread, [x, "place"]).drop("place")
 
 
-def candidates(pairs: DataFrame, classes: DataFrame, marks: DataFrame, n: int, percent: int) -> DataFrame:
+def candidates(pairs: DataFrame, classes: DataFrame, marks: DataFrame, n: int, percent: int, both: bool = False) -> DataFrame:
     """Those pairs (a, b, part_a, part_b) of classes that are similar enough: by estimate, then on full sets.
 
-    Only a may be a class of very many pairs.
+    Only a may be a class of very many pairs, unless both may.
     """
     schema = "a long, b long, part_a long, part_b long"
-    side = lambda df, c: df.select(F.col("class").alias("b"), F.col(c).alias(f"{c}_b"))
-    marked = beside(pairs.join(side(marks, "registers"), "b"), marks, "a", "registers")
+
+    def with_b(pairs: DataFrame, df: DataFrame, c: str) -> DataFrame:
+        return beside(pairs, df, "b", c) if both else pairs.join(df.select(F.col("class").alias("b"), F.col(c).alias(f"{c}_b")), "b")
+
+    marked = beside(with_b(pairs, marks, "registers"), marks, "a", "registers")
     likely = settle(marked.select(*PAIR, "registers_a", "registers_b").mapInArrow(near_enough(percent / 100), schema))
-    texts = beside(likely.join(side(classes, "text"), "b"), classes, "a", "text")
+    texts = beside(with_b(likely, classes, "text"), classes, "a", "text")
     return settle(texts.select(*PAIR, "text_a", "text_b").mapInArrow(verified(n, percent), schema))
 
 
-def linked(nodes: DataFrame, pairs: DataFrame, classes: DataFrame, marks: DataFrame, n: int, percent: int) -> DataFrame:
+def linked(nodes: DataFrame, pairs: DataFrame, classes: DataFrame, marks: DataFrame, n: int, percent: int, both: bool = False) -> DataFrame:
     """nodes (class, part) with the parts drawn together that similar pairs (a, b, part_a, part_b) join."""
     pairs = settle(pairs)
     if pairs.isEmpty():
         return nodes
-    links = candidates(pairs, classes, marks, n, percent)
+    links = candidates(pairs, classes, marks, n, percent, both)
     if links.isEmpty():
         return nodes
     part = components(links.select(F.least("part_a", "part_b").alias("a"), F.greatest("part_a", "part_b").alias("b")).distinct())
@@ -318,7 +338,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     placed = shared.select("band", "class", "n").join(nodes, "class")
     mixed_bands = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("band")
     open_ = settle(placed.join(mixed_bands, "band").select("class", "n", "part").distinct())
-    part = nodes if open_.isEmpty() else linked(nodes, prefix_pairs(classes, open_, n, percent), classes, marks, n, percent)
+    part = nodes if open_.isEmpty() else linked(nodes, prefix_pairs(classes, open_, n, percent), classes, marks, n, percent, both=True)
     least = own.groupBy("class").agg(F.min("doc_id").alias("least")).where("class is not null")
     grouped = least.join(part, "class", "left").select("class", F.coalesce("part", "class").alias("part"), "least")
     lowest = grouped.groupBy("part").agg(F.min("least").alias("lowest"))
