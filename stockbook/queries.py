@@ -94,12 +94,15 @@ def parse_package_lock(spark, sf_dir):
     return parse_npm.parse_package_lock(i.npm_lock_files(spark, sf_dir)).components.select("name", "version", "instance_id")
 
 
-@query(LOCK + """
-, deps AS MATERIALIZED (
-  SELECT DISTINCT f, 'node_modules/o' || o AS own, 'node_modules/o' || o || '/node_modules/p' || x AS inner_path, 'node_modules/p' || x AS top_path FROM l)
-SELECT p.id AS parent_id, coalesce(n.id, h.id) AS child_id
-FROM deps d JOIN ids p ON p.f = d.f AND p.pkg_path = d.own
-LEFT JOIN ids n ON n.f = d.f AND n.pkg_path = d.inner_path LEFT JOIN ids h ON h.f = d.f AND h.pkg_path = d.top_path""")
+@query("""
+WITH l AS (SELECT l_orderkey // 40 AS f, l_orderkey AS o, l_partkey % 50 AS x, l_linenumber AS ln FROM lineitem),
+d AS (SELECT f, o, x, min(ln) FILTER (ln % 2 = 1) AS ln, bool_or(ln % 2 = 0) AS even FROM l GROUP BY ALL),
+h AS (SELECT *, bool_or(even) OVER (PARTITION BY f, x) AS hoisted FROM d),
+t AS (
+  SELECT 'pkg:npm/o' || o || '@1.0.0' AS pp, 'f' || f || '/package-lock.json:node_modules/o' || o AS ps, ln, hoisted,
+    CASE WHEN ln IS NOT NULL THEN 'pkg:npm/p' || x || '@2.' || x || '.' || ln ELSE 'pkg:npm/p' || x || '@1.' || x || '.0' END AS cp,
+    'f' || f || '/package-lock.json:node_modules/' || CASE WHEN ln IS NOT NULL THEN 'o' || o || '/node_modules/p' || x ELSE 'p' || x END AS cs FROM h)
+SELECT """ + iid("pp", "ps") + " AS parent_id, " + iid("cp", "cs") + " AS child_id FROM t")
 def resolve_node_modules(spark, sf_dir):
     return parse_npm.parse_package_lock(i.npm_lock_files(spark, sf_dir)).edges.select("parent_id", "child_id")
 
@@ -251,9 +254,12 @@ def in_degree(spark, sf_dir):
     return graph.in_degree(nodes, order_graph(spark, sf_dir)).select("instance_id", "n")
 
 
-@query("SELECT 'p' || p_partkey AS instance_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("""
+SELECT 'p' || p_partkey AS instance_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT 'o' || o_orderkey FROM orders
+UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem UNION SELECT (s_suppkey * 7 + 3) % 50 FROM supplier)""")
 def roots(spark, sf_dir):
-    nodes = i.table(spark, sf_dir, "part").select(F.lit("g").alias("scan_id"), i.text("p", F.col("p_partkey")).alias("instance_id"))
+    ids = lambda name, letter, key: i.table(spark, sf_dir, name).select(F.lit("g").alias("scan_id"), i.text(letter, F.col(key)).alias("instance_id"))
+    nodes = ids("part", "p", "p_partkey").union(ids("orders", "o", "o_orderkey")).union(ids("supplier", "s", "s_suppkey"))
     return graph.roots(nodes, order_graph(spark, sf_dir)).select("instance_id")
 
 
@@ -325,9 +331,10 @@ def report_totals(spark, sf_dir):
 
 VERSIONS = """
 WITH v AS (SELECT l_returnflag AS scan_id, 'p' || l_partkey AS name, arg_max('v' || (l_quantity::INT % 5), (l_orderkey * 10 + l_linenumber) * 100 + l_quantity::INT) AS version FROM lineitem GROUP BY ALL),
-a AS (SELECT name, version FROM v WHERE scan_id = 'A'), b AS (SELECT name, version FROM v WHERE scan_id = 'N'),
-diff AS (SELECT coalesce(a.name, b.name) AS name, a.version AS version_a, b.version AS version_b,
-  CASE WHEN b.name IS NULL THEN 'only_a' WHEN a.name IS NULL THEN 'only_b' ELSE 'version' END AS kind FROM a FULL JOIN b ON a.name = b.name WHERE a.version IS DISTINCT FROM b.version)
+flags AS (SELECT unnest(['A', 'A', 'N']) AS x, unnest(['N', 'R', 'R']) AS y),
+a AS (SELECT x || '-' || y AS pair, name, version FROM v JOIN flags ON scan_id = x), b AS (SELECT x || '-' || y AS pair, name, version FROM v JOIN flags ON scan_id = y),
+diff AS (SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.name, b.name) AS name, a.version AS version_a, b.version AS version_b,
+  CASE WHEN b.name IS NULL THEN 'only_a' WHEN a.name IS NULL THEN 'only_b' ELSE 'version' END AS kind FROM a FULL JOIN b ON a.name = b.name AND a.pair = b.pair WHERE a.version IS DISTINCT FROM b.version)
 """
 
 
@@ -341,9 +348,11 @@ def versions(spark, sf_dir):
 
 
 def two_sides(spark, sf_dir):
+    """The first and the second flag of each pair of flags."""
     v = versions(spark, sf_dir)
-    side = lambda flag: v.where(F.col("scan_id") == flag).select(F.lit("A-N").alias("pair"), "name", "version")
-    return side("A"), side("N")
+    pairs = lambda *of: F.explode(F.array(*[F.struct(F.lit(flag).alias("flag"), F.lit(pair).alias("pair")) for flag, pair in of])).alias("p")
+    side = lambda *of: v.select("*", pairs(*of)).where("scan_id = p.flag").select("p.pair", "name", "version")
+    return side(("A", "A-N"), ("A", "A-R"), ("N", "N-R")), side(("N", "A-N"), ("R", "A-R"), ("R", "N-R"))
 
 
 @query(VERSIONS + "SELECT scan_id, name, version FROM v")
@@ -351,22 +360,24 @@ def comparable_versions(spark, sf_dir):
     return versions(spark, sf_dir)
 
 
-@query(VERSIONS + "SELECT 'A-N' AS pair, name, version_a, version_b, kind FROM diff")
+@query(VERSIONS + "SELECT pair, name, version_a, version_b, kind FROM diff")
 def compare_sboms(spark, sf_dir):
     return report.compare_sboms(*two_sides(spark, sf_dir), "pair")
 
 
-SUMMARY = VERSIONS + ", t AS (SELECT (SELECT count(*) FROM diff) AS errors, greatest((SELECT count(*) FROM a), (SELECT count(*) FROM b)) AS most)"
+SUMMARY = VERSIONS + """
+, t AS (SELECT f.pair, (SELECT count(*) FROM diff WHERE diff.pair = f.pair) AS errors, greatest((SELECT count(*) FROM a WHERE a.pair = f.pair), (SELECT count(*) FROM b WHERE b.pair = f.pair)) AS most
+  FROM (SELECT x || '-' || y AS pair FROM flags) f)"""
 
 
-@query(SUMMARY + " SELECT 'A-N' AS pair, errors, CASE WHEN errors > 0 THEN abs(most - errors) / most * 100 END AS accuracy FROM t")
+@query(SUMMARY + " SELECT pair, errors, CASE WHEN errors > 0 THEN abs(most - errors) / most * 100 END AS accuracy FROM t")
 def compare_summary(spark, sf_dir):
     return report.compare_summary(*two_sides(spark, sf_dir), "pair")
 
 
-@query(SUMMARY + " SELECT 'A-N' AS pair, errors, o.n AS expected, errors = o.n AS passed FROM t, (SELECT count(*) AS n FROM orders) o")
+@query(SUMMARY + " SELECT pair, errors, o.n AS expected, errors = o.n AS passed FROM t, (SELECT count(*) AS n FROM orders) o")
 def check_expected_errors(spark, sf_dir):
-    expected = i.table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("expected")).withColumn("pair", F.lit("A-N"))
+    expected = i.table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("expected")).withColumn("pair", F.explode(F.array(*[F.lit(p) for p in ("A-N", "A-R", "N-R")])))
     return report.check_expected_errors(report.compare_summary(*two_sides(spark, sf_dir), "pair"), expected, "pair")
 
 
@@ -491,14 +502,14 @@ def fallback_instance_id(spark, sf_dir):
 WITH p AS (SELECT p_partkey AS k, p_size AS z, p_partkey // 100 AS g, 'Pkg_' || p_partkey || '.Lib' AS name FROM part),
 l AS (SELECT g, CASE k % 8 WHEN 0 THEN name || '==1.' || z || '.0' WHEN 1 THEN name || '[extra]>=2.' || z WHEN 2 THEN name || ' ~= 3.' || z || ' ; python_version >= "3.8"' WHEN 3 THEN name || '==4.' || z || ' # note'
   WHEN 4 THEN name || ' != 5.' || z WHEN 5 THEN name || '==6.*' WHEN 6 THEN '-r other' || k || '.txt' ELSE 'https://host/' || name || '.whl' END AS line, k FROM p)
-SELECT CASE g % 3 WHEN 0 THEN 'a b/pack=' WHEN 1 THEN '.hidden/pack=' ELSE 'x/_deps/.in/pack=' END || g AS dir, count(*) AS lines, sha256(string_agg(line, chr(10) ORDER BY k) || chr(10)) AS digest FROM l GROUP BY g""")
+SELECT CASE g % 5 WHEN 0 THEN 'a b/pack=' WHEN 1 THEN '.hidden/pack=' WHEN 2 THEN 'app/[slug]/_components/pack=' WHEN 3 THEN 'x/{1}*?/_é/pack=' ELSE 'x/_deps/.in/pack=' END || g AS dir, count(*) AS lines, sha256(string_agg(line, chr(10) ORDER BY k) || chr(10)) AS digest FROM l GROUP BY g""")
 def read_manifests(spark, sf_dir):
-    """Requirement files written below folders of plain and of hidden names, and read back from their root."""
+    """Requirement files written below folders of plain, hidden and pattern-like names, and read back from their root."""
     root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
     made = settled(i.requirement_files(spark, sf_dir).select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("pack"), F.col("content").alias("value")))
-    for k, folder in enumerate(("a b", ".hidden", "x/_deps/.in")):
-        made.where(F.col("pack") % 3 == k).write.partitionBy("pack").text(f"{root}/{folder}")
-    read = readers.read_manifests(spark, root).where("content <> ''")
+    for k, folder in enumerate(("a b", ".hidden", "app/[slug]/_components", "x/{1}*?/_é", "x/_deps/.in")):
+        made.where(F.col("pack") % 5 == k).write.partitionBy("pack").text(f"{root}/{folder}")
+    read = readers.read_manifests(spark, root, wanted=lambda base: F.startswith(base, F.lit("part-")))
     lines = F.length("content") - F.length(F.translate("content", "\n", ""))
     return read.select(s.parent_dir(F.col("path")).alias("dir"), lines.cast("long").alias("lines"), F.sha2("content", 256).alias("digest"))
 
@@ -541,17 +552,62 @@ def register_producer(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT p_partkey AS k FROM part)
-SELECT 'd' || k || '/' || CASE k % 8 WHEN 0 THEN 'Cargo.lock' WHEN 1 THEN 'Cargo.lock' WHEN 2 THEN 'package.json' WHEN 3 THEN 'package-lock.json' WHEN 4 THEN 'pom.xml' WHEN 5 THEN 'pom.xml' ELSE 'requirements.txt' END AS path FROM p WHERE k % 8 IN (1, 2, 3, 5, 7)""")
+WITH p AS (SELECT p_partkey AS k FROM part),
+m AS (SELECT 'd' || k || '/' || CASE k % 8 WHEN 1 THEN 'Cargo.lock' WHEN 2 THEN 'package.json' WHEN 3 THEN 'package-lock.json' WHEN 5 THEN 'pom.xml' ELSE 'requirements.txt' END AS path,
+  CASE k % 8 WHEN 1 THEN 'no TOML' WHEN 2 THEN 'no JSON object' WHEN 3 THEN 'no JSON object' WHEN 5 THEN 'no POM' ELSE 'no content' END AS reason FROM p WHERE k % 8 IN (1, 2, 3, 5, 7)),
+t AS (SELECT 't' || k AS path, ['cargo-metadata', 'npm-ls', 'pip-inspect', 'mvn-tree'][k % 4 + 1] AS kind, k // 4 % 3 AS state FROM p)
+SELECT path, string_split(path, '/')[2] AS kind, reason FROM m
+UNION ALL SELECT path, kind, CASE WHEN state = 2 THEN 'no content' WHEN kind = 'mvn-tree' THEN 'no tree' ELSE 'no JSON object' END FROM t WHERE state > 0""")
 def parse_errors(spark, sf_dir):
+    """Manifests and captured output of all nine kinds, whole, broken and without content."""
     k = F.col("p_partkey")
+    null = F.lit(None).cast("string")
     name = i.choose(k, *[F.lit(x) for x in ("Cargo.lock", "Cargo.lock", "package.json", "package-lock.json", "pom.xml", "pom.xml", "requirements.txt", "requirements.txt")])
     content = i.choose(
         k, i.text('[[package]]\nname = "a', k, '"\nversion = "1.0.0"'), i.text("[[package]\nname = ", k), i.text('{"name": "a', k), i.text("[1, ", k), i.text("<project><artifactId>a", k, "</artifactId></project>"), i.text("<project><artifactId>a", k),
-        i.text("a==", k), F.lit(None).cast("string"),
+        i.text("a==", k), null,
     )
-    files = i.table(spark, sf_dir, "part").select(F.lit("s").alias("scan_id"), i.text("d", k, "/", name).alias("path"), content.alias("content"))
-    return scan.parse_errors(files).select("path")
+    part = i.table(spark, sf_dir, "part")
+    files = part.select(F.lit("s").alias("scan_id"), i.text("d", k, "/", name).alias("path"), content.alias("content"))
+    kind = i.choose(k, *[F.lit(x) for x in ("cargo-metadata", "npm-ls", "pip-inspect", "mvn-tree")])
+    good = F.when(kind == "mvn-tree", i.text("[INFO] g:a", k, ":jar:1.0")).otherwise(i.text('{"name": "a', k, '"}'))
+    output = i.choose(F.floor(k / 4), good, F.when(kind == "mvn-tree", "[ERROR] no such goal").otherwise(i.text('{"name": ', k)), null)
+    captured = part.select(F.lit("s").alias("scan_id"), i.text("t", k).alias("path"), kind.alias("kind"), output.alias("content"))
+    return scan.parse_errors(files, captured).select("path", "kind", "reason")
+
+
+@query("""
+WITH s AS (SELECT DISTINCT o_orderkey // 10 AS g FROM orders)
+SELECT 's' || g AS scan_id, 'sum' AS name FROM s WHERE g % 3 = 0 UNION ALL SELECT 's' || (o_orderkey // 10), 'mod' || o_orderkey FROM orders WHERE (o_orderkey // 10) % 3 > 0""")
+def register_resolver(spark, sf_dir):
+    """A resolver of a further ecosystem, which goes before that ecosystem's manifests where it applies, and one that applies to no scan."""
+    orders = i.table(spark, sf_dir, "orders").select(i.block("o_orderkey", 10).alias("g"), "o_orderkey")
+    scans = orders.select("g").distinct()
+    own = lambda df, name: components(df.withColumn("purl", F.concat(F.lit("pkg:golang/"), name)).select("scan_id", "path", name.alias("name"), "purl", s.instance_id(F.col("purl"), F.col("path")).alias("instance_id")), "go", src_path=F.col("path"))
+    no_edges = lambda found: found.where("false").select("scan_id", F.col("instance_id").alias("parent_id"), F.col("instance_id").alias("child_id"), "ord")
+
+    def modules(files):
+        found = own(files.select("scan_id", "path", F.explode(F.split("content", "\n")).alias("line")), F.col("line"))
+        return Parsed(found, no_edges(found))
+
+    def sums(files):
+        found = own(files, F.lit("sum"))
+        return Parsed(found, no_edges(found))
+
+    made = i.joined(orders.select("g", "o_orderkey", i.text("mod", F.col("o_orderkey")).alias("line")), ["g"], "o_orderkey")
+    captured = made.select(i.text("s", F.col("g")).alias("scan_id"), F.lit("list.txt").alias("path"), F.explode(F.array(F.lit("go-list"), F.lit("go-vendor"))).alias("kind"), "content")
+    files = scans.select(i.text("s", F.col("g")).alias("scan_id"), F.lit("go.sum").alias("path"), F.lit("x").alias("content"))
+    listing = scans.select(i.text("s", F.col("g")).alias("scan_id"), F.explode(F.array(F.lit("go.sum"), F.when(F.col("g") % 3 == 0, "src/go.mod").otherwise("go.mod"))).alias("path"))
+    known, before = routing.producers(), routing.resolvers()
+    routing.register_producer(routing.Producer("go", "go.sum", 0, lambda base: base == "go.sum", sums))
+    routing.register_resolver(routing.Resolver("go", "go-list", modules, (routing.at_root("go.mod"), routing.at_root("go.sum"))))
+    routing.register_resolver(routing.Resolver("go", "go-vendor", modules, (routing.below_root("vendor"),)))
+    try:
+        found = scan.inventory(files, captured, listing).components
+    finally:
+        routing.restore_producers(known)
+        routing.restore_resolvers(before)
+    return found.select("scan_id", "name")
 
 
 @query("""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockbook.functions.scalars import manifest_rel_path
+from stockbook.functions.scalars import base_name, manifest_rel_path
+from stockbook.sources.tree import list_tree, read_contents
 
 DOCUMENT = """bomFormat string, specVersion string, version int,
 metadata struct<timestamp: string, tools: array<struct<vendor: string, name: string, version: string>>>,
@@ -21,8 +25,8 @@ def hidden_folders(spark: SparkSession, root: str) -> list[str]:
     top = fs_path(root)
     fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
     base, found, level = fs.makeQualified(top).toString().rstrip("/"), [], ""
-    while len(fs.globStatus(fs_path(f"{base}{level}/*"))):
-        for status in fs.globStatus(fs_path(f"{base}{level}/[._]*")):
+    while len(fs.globStatus(fs_path(f"{as_is(base)}{level}/*"))):
+        for status in fs.globStatus(fs_path(f"{as_is(base)}{level}/[._]*")):
             at = status.getPath().toString()
             if status.isDirectory() and not f"{at}/".startswith(f"{base}/.git/"):
                 found.append(at)
@@ -30,13 +34,35 @@ def hidden_folders(spark: SparkSession, root: str) -> list[str]:
     return found
 
 
-def read_manifests(spark: SparkSession, root: str, scan_id: str = "scan") -> DataFrame:
-    """(scan_id, path, content) of all files below root, but not of its .git folder. Files whose own names begin with _ or
-    a dot aren't read (no manifest has such a name); links are followed, so trees with links are landed as a table first."""
-    raw = spark.read.text([root, *hidden_folders(spark, root)], wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), F.col("value").alias("content"))
+def as_is(path: str) -> str:
+    """A path whose signs of patterns stand for themselves."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def read_store(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of all files below root by Spark's own reader, for stores that only it can open. Folders with hidden names
+    are named one by one; files whose own names begin with _ or a dot aren't read (no manifest has such a name)."""
+    raw = spark.read.text([as_is(p) for p in (root, *hidden_folders(spark, root))], wholetext=True, recursiveFileLookup=True)
+    raw = raw.select(F.input_file_name().alias("file"), F.col("value").alias("content"))
     base = F.lit("/" + root.split("://", 1)[-1].strip("/"))
-    path = manifest_rel_path(base, F.url_decode(F.regexp_replace("file", "^[a-z]+:/+", "/")))
-    return raw.select(F.lit(scan_id).alias("scan_id"), path.alias("path"), "content").where(~F.startswith("path", F.lit(".git/")))
+    path = manifest_rel_path(base, F.url_decode(F.replace(F.regexp_replace("file", "^[a-z]+:/+", "/"), F.lit("+"), F.lit("%2B"))))
+    return raw.select(path.alias("path"), "content").where(~F.startswith("path", F.lit(".git/")))
+
+
+def read_manifests(spark: SparkSession, root: str, scan_id: str = "scan", wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(scan_id, path, content) of all regular files below root but for its own .git, or of those whose names are wanted.
+
+    Folders of this machine's file system are listed and read in tasks (sources/tree.py), and links are never followed;
+    files and folders that can't be read have null as content. Other stores, which have no links, are read by Spark's own reader.
+    """
+    fs = spark._jvm.org.apache.hadoop.fs.Path(as_is(root)).getFileSystem(spark._jsc.hadoopConfiguration())
+    keep = wanted(base_name(F.col("path"))) if wanted else F.lit(True)
+    if fs.getScheme() == "file":
+        listing = list_tree(spark, re.sub("^file:(?://)?", "", root)).where(keep | ~F.col("readable"))
+        found = read_contents(listing)
+    else:
+        found = read_store(spark, root).where(keep)
+    return found.select(F.lit(scan_id).alias("scan_id"), "path", "content")
 
 
 def documents(docs: DataFrame) -> DataFrame:
