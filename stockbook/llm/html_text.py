@@ -14,8 +14,10 @@ the rest names a mere frame (ad-box); has-sidebar and the like describe a layout
 is read whatever the names around it; so is an article where a page would have no text otherwise.
 
 Defined results: null and empty html give an empty text; unclosed and misnested tags are closed as
-browsers do; broken declarations are comments up to the next ">"; the work is linear in the page; a null url is a host of its own; repeated rows are extracted alike; an empty table gives no
-rows; other columns are ignored.
+browsers do; what the page's end leaves open (a tag, a comment, a script) reaches to the end and is left out, but a quoted
+value without an end is read as one without quotes; broken declarations are comments up to the next ">"; every sign of a page is looked at a fixed number of times, so the
+work is linear whatever it holds; a null url is a host of its own; repeated rows are extracted alike; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 import collections
 import functools
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +58,19 @@ STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 DEPTH = 8
 
 
+# Marks of a page. Each alternative reads on to the page's end if its own end is missing, and nothing is read twice; only the
+# last quote of a page can be one without an end.
+_VALUE = r"""\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+_NAME = r"""[^\s/>][^\s/=>]*+"""
+MARK = re.compile(
+    rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?:(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+|[^a-zA-Z>][^>]*+)?(?:>|\Z)"""
+    rf"""|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[\s/]++|{_NAME}(?:{_VALUE})?+)*+)(?P<close>>|\Z)""",
+    re.DOTALL,
+)
+ATTRIBUTE = re.compile(rf"""[\s/]++|(?P<name>{_NAME})(?P<value>{_VALUE})?+""")
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in ("script", "style")}
+
+
 @functools.lru_cache(1 << 16)
 def bad_name(name: str, bad: frozenset = BAD_PARTS) -> bool:
     """Whether a class or id names something that isn't part of an article."""
@@ -65,14 +80,13 @@ def bad_name(name: str, bad: frozenset = BAD_PARTS) -> bool:
     return parts[-1] in bad or (parts[0] in bad and all(x in FRAME or x in bad for x in parts[1:]))
 
 
-class Page(HTMLParser):
+class Page:
     """Blocks (container number, text, characters in links) and containers (parent, path, weight).
 
     lenient: an article is read whatever the names of the elements around it.
     """
 
     def __init__(self, lenient: bool = False) -> None:
-        super().__init__(convert_charrefs=True)
         self.lenient = lenient
         self.open: list[tuple[str, int, int]] = []  # tag, left out (1: by names, 2: for good), container
         self.at: dict[str, list[int]] = collections.defaultdict(list)  # places of open elements by tag
@@ -82,6 +96,34 @@ class Page(HTMLParser):
         self.text: list[str] = []
         self.links = 0
 
+    def feed(self, html: str) -> None:
+        """Read a whole page."""
+        at = 0
+        while mark := MARK.search(html, at):
+            if mark.start() > at:
+                self.handle_data(unescape(html[at : mark.start()]))
+            at = mark.end()
+            if mark["end"]:
+                if mark[0].endswith(">"):
+                    self.handle_endtag(mark["end"].lower())
+            elif mark["start"] and mark["close"]:
+                tag, values, last = mark["start"].lower(), {}, ""
+                for a in ATTRIBUTE.finditer(mark["attributes"]):
+                    last = a[0]
+                    if a["name"]:
+                        last, value = "", (a["value"] or "").lstrip().removeprefix("=").lstrip()
+                        quoted = len(value) > 1 and value[0] in "\"'" and value[-1] == value[0]
+                        values[a["name"].lower()] = unescape(value[1:-1] if quoted else value)
+                if last.endswith("/"):
+                    self.handle_startendtag(tag, values)
+                else:
+                    self.handle_starttag(tag, values)
+                    if tag in RAW:
+                        end = RAW[tag].search(html, at)
+                        at = end.start() if end else len(html)
+        if at < len(html):
+            self.handle_data(unescape(html[at:]))
+
     def state(self) -> tuple[int, int]:
         return self.open[-1][1:] if self.open else (0, 0)
 
@@ -104,7 +146,7 @@ class Page(HTMLParser):
             return 0
         return 1 if out or any(bad_name(x, READERS if tag == "article" else BAD_PARTS) for x in names) else 0
 
-    def handle_starttag(self, tag, attrs):
+    def handle_starttag(self, tag: str, values: dict[str, str]) -> None:
         if tag in BLOCKS:
             self.end_block()
             self.pop_to(("p",), None)
@@ -115,7 +157,6 @@ class Page(HTMLParser):
                 self.handle_data(" ")
             return
         out, at = self.state()
-        values = {k: v or "" for k, v in attrs}
         names = f"{values.get('class', '')} {values.get('id', '')}".split()
         out = self.left_out(tag, values, names, out)
         if tag in CONTAINERS and not out:
@@ -130,8 +171,8 @@ class Page(HTMLParser):
             self.solid.append(len(self.open))
         self.open.append((tag, out, at))
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+    def handle_startendtag(self, tag: str, values: dict[str, str]) -> None:
+        self.handle_starttag(tag, values)
         if tag not in VOID and tag not in ("p", "div"):
             self.handle_endtag(tag)
 
@@ -146,17 +187,12 @@ class Page(HTMLParser):
             if self.solid and self.solid[-1] == len(self.open):
                 self.solid.pop()
 
-    def handle_endtag(self, tag):
+    def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.end_block()
         self.pop_to((tag,), () if tag in BLOCKS or tag in LEFT_OUT else None)
 
-    def parse_marked_section(self, i, report=1):
-        """Marked sections, broken ones too, are comments."""
-        end = self.rawdata.find(">", i)
-        return end + 1 if end >= 0 else -1
-
-    def handle_data(self, data):
+    def handle_data(self, data: str) -> None:
         if not self.state()[0]:
             self.text.append(data)
             if self.at["a"]:
@@ -186,7 +222,6 @@ def parsed(html: str | None) -> Page:
     for lenient in (False, True):
         page = Page(lenient)
         page.feed(html or "")
-        page.close()
         page.end_block()
         if page.blocks:
             break
