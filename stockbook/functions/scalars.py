@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stockbook.functions.purl import fix_purl  # noqa: F401  one of the rules of names
+
 # SPDX ids and the words that stand for them, in the order in which they are tried.
 LICENSE_RULES = (
     (("apache", "2"), "Apache-2.0"),
@@ -18,7 +20,6 @@ LICENSE_RULES = (
 )
 #: Characters of a package name and of a version in requirement lines.
 NAME_CHARACTERS, VERSION_CHARACTERS = r"[\w.\-]", r"[\p{Alnum}.*\-]"
-VALID_PURL = r"^pkg:[A-Za-z][A-Za-z0-9.+-]*/(?:@?[^/@\s^~=]+/)*[^/@\s^~=]+(?:@[^/@\s^~=]+)?$"
 INTERPOLATIONS = 5
 
 
@@ -48,17 +49,6 @@ def build_purl(ecosystem: str | Column, group: Column | None, name: Column, vers
     return F.concat(F.lit("pkg:"), eco, F.lit("/"), g, name, v)
 
 
-def fix_purl(s: Column) -> Column:
-    """The canonical form of a valid package URL; else without ^ ~ =; else what stands before the first @."""
-
-    kind = F.lower(F.regexp_extract(s, "^([^/]*)/", 1))
-    scoped = F.concat(kind, F.regexp_replace(F.regexp_extract(s, "^[^/]*(/.*)$", 1), "/@", "/%40"))
-    pypi = F.concat(F.translate(F.lower(F.substring_index(scoped, "@", 1)), "_", "-"), F.regexp_extract(scoped, "(@[^@]*)$", 1))
-    whole = F.when(kind == "pkg:pypi", pypi).otherwise(scoped)
-    bare = F.translate(s, "^~=", "")
-    return F.when(s.rlike(VALID_PURL), whole).when(bare.rlike(VALID_PURL), bare).otherwise(F.substring_index(s, "@", 1))
-
-
 def instance_id(purl: Column, salt: Column) -> Column:
     """The identity of a package in one place: the purl and 16 hex digits of a digest over purl and salt."""
     digest = F.sha2(F.concat(purl, F.lit("\u0000"), salt).cast("binary"), 256)

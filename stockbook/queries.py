@@ -462,6 +462,21 @@ def name_rules(spark, sf_dir):
     )
 
 
+@query("""
+SELECT p_partkey AS k, CASE p_partkey % 9 WHEN 0 THEN 'pkg:npm/n' || p_partkey || '@1.' || p_size || '?arch=x&os=li%20nux' WHEN 1 THEN 'pkg:cargo/c' || p_partkey || '@1.' || p_size || '%2Bmeta.' || p_size
+  WHEN 2 THEN 'pkg:golang/g.org/p' || p_partkey || '@v1.' || p_size || '#a/b' || p_partkey WHEN 3 THEN 'pkg:maven/g%C3%A9.h/a%20b' || p_partkey || '@1.0?classifier=x%2Fy' WHEN 4 THEN 'pkg:github/own' || p_partkey || '/repo@V' || p_size
+  WHEN 5 THEN 'pkg:npm/a' || p_partkey WHEN 6 THEN 'pkg:npm/q' || p_partkey WHEN 7 THEN 'pkg:pypi/A_' || p_partkey || '.x' ELSE 'pkg:generic/' || url_encode(p_name) || '@' || url_encode(p_type) END AS purl FROM part""")
+def canonical_purls(spark, sf_dir):
+    """Package URLs with qualifiers, subpaths, percent signs, and broken ones."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    t, blanks = i.text, lambda c: F.replace(F.col(c), F.lit(" "), F.lit("%20"))
+    purl = i.choose(
+        k, t("pkg:npm/n", k, "@1.", z, "?arch=x&Os=li nux"), t("pkg:Cargo/c", k, "@1.", z, "+meta.", z), t("pkg:golang/g.org//p", k, "@v1.", z, "#/a/./b", k, "/.."), t("pkg:maven/gé.h/a%20b", k, "@1.0?Type=&classifier=x/y"),
+        t("pkg:GitHub/Own", k, "/Repo@V", z), t("pkg:npm/a", k, "@1?x"), t("pkg:npm/q", k, "@1?a=1&A=2"), t("pkg:pypi/A_", k, ".x@~=2.", z, "?b=1"), t("pkg:generic/", blanks("p_name"), "@", blanks("p_type")),
+    )
+    return i.table(spark, sf_dir, "part").select(k.alias("k"), s.fix_purl(purl).alias("purl"))
+
+
 @query("""
 WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 t AS (SELECT doc_id, generate_subscripts(ls, 1) AS line, trim(unnest(ls), ' ') AS l FROM a), u AS (SELECT *, lower(l) AS w FROM t WHERE l <> '' AND upper(l) <> 'UNKNOWN')

@@ -145,3 +145,34 @@ def test_requirement_lines(spark):
     name = s.leading_name(F.col("x"))
     got = {r["x"]: (r["n"], r["v"] if r["n"] else "") for r in frame.select("x", name.alias("n"), s.compared_version(F.substr("x", F.length(name) + 1)).alias("v")).collect()}
     assert got == cases
+
+
+def test_settled_tables_have_owners(spark):
+    from stockbook import shared
+
+    with shared.owned_by("me"):
+        mine = shared.settled(spark.range(3))
+    other = shared.settled(spark.range(4))
+    shared.clear_settled(spark, "me")
+    assert other.count() == 4 and "me" not in shared._SETTLED
+    with pytest.raises(Exception, match="(?i)not.exist|no such file|FILE_NOT_EXIST"):
+        mine.collect()
+
+
+def test_a_local_folder_is_refused_on_a_cluster():
+    """What a cluster's executors can't see is an error, not a folder on the driver's disk."""
+    from types import SimpleNamespace
+
+    from stockbook.shared import shared_dir
+
+    path = lambda at: SimpleNamespace(getFileSystem=lambda _: SimpleNamespace(getScheme=lambda: at.split(":")[0]))
+    jvm = SimpleNamespace(org=SimpleNamespace(apache=SimpleNamespace(hadoop=SimpleNamespace(fs=SimpleNamespace(Path=path)))))
+
+    def session(warehouse):
+        kept = {"spark.sql.warehouse.dir": warehouse}
+        conf = SimpleNamespace(get=lambda k, d=None: kept.get(k, d), set=kept.__setitem__)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077"), _jvm=jvm, _jsc=SimpleNamespace(hadoopConfiguration=lambda: None))
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(session("file:/tmp/warehouse"))
+    assert shared_dir(session("hdfs://host/warehouse")).startswith("hdfs://host/warehouse/stockbook-")
