@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockbook.functions.scalars import base_name, manifest_rel_path
+from stockbook.shared import settled
 from stockbook.sources.tree import list_tree, read_contents
 
 DOCUMENT = """bomFormat string, specVersion string, version int,
@@ -82,9 +83,64 @@ def cyclonedx_edges(docs: DataFrame) -> DataFrame:
     return out.select("scan_id", F.col("x.ref").alias("parent_id"), F.posexplode("x.dependsOn").alias("ord", "child_id")).select("scan_id", "parent_id", "child_id", F.col("ord").cast("long").alias("ord"))
 
 
+def document_key(file: Column) -> Column:
+    """What names a document: its folder if it is written in parts, else its file."""
+    return F.when(F.startswith(base_name(file), F.lit("part-")), F.regexp_extract(file, "^(.*)/[^/]*$", 1)).otherwise(file)
+
+
 def read_cyclonedx(spark: SparkSession, path: str) -> DataFrame:
-    """(scan_id, doc): one row per file, named by the file; files without components are an error when read."""
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    kept = raw.select(F.input_file_name().alias("scan_id"), F.col("value").alias("doc"))
+    """(scan_id, doc): one row per document, named by its file, or by its folder if it is written in parts; documents without
+    components are an error when read. For documents that fit a row: large_cyclonedx reads those that don't."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), "value")
+    parts = F.array_sort(F.collect_list(F.struct("file", "value")))
+    kept = raw.groupBy(document_key(F.col("file")).alias("scan_id")).agg(F.array_join(F.transform(parts, lambda x: x["value"]), "").alias("doc"))
     full = F.size(F.coalesce(F.from_json("doc", DOCUMENT)["components"], F.array())) > 0
     return kept.withColumn("doc", F.when(full, F.col("doc")).otherwise(F.raise_error(F.concat(F.lit("no components in "), F.col("scan_id")))))
+
+
+#: What stands between two nodes of a top-level list, and what opens and closes such a list, by the style of a document's text.
+STYLES = {
+    "inline": ("\n  }, {\n", r'(?m)^(?:  "\w+" : \[ \{|  \} \],?)\n?', "  }, {\n"),
+    "lines": ("\n    },\n    {\n", r'(?m)^(?:  "\w+": \[\n    \{|    \}\n  \],?)\n?', "    {\n"),
+}
+
+
+def document_nodes(spark: SparkSession, path: str, style: str = "inline") -> DataFrame:
+    """(scan_id, pos, body): the nodes of the top-level lists of pretty documents of any size, each as the inside of its braces.
+
+    The text between two nodes is the reader's record separator, so Spark splits files into ranges of bytes and no task or row
+    holds a document. A document is a folder of files (as write_cyclonedx writes it) or one file, and scan_id is that folder or file.
+    style is 'inline' for this library's texts and 'lines' for those that put each brace on a line of its own. pos is the place of a node
+    in its document, from 0: counted within ranges, whose counts are then added up.
+    """
+    separator, mark, cut = STYLES[style]
+    raw = spark.read.option("recursiveFileLookup", "true").option("lineSep", separator).text(path)
+    place = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
+    place = place.withColumn("scan_id", document_key(F.col("file")))
+    text = F.regexp_replace("value", "^" + re.sub(r"([{}])", r"\\\1", cut), "")
+    inside = F.filter(F.split(text, mark), lambda x: x.rlike(r'^ {4,6}"'))
+    nodes = settled(place.select("scan_id", "file", "block", "at", F.posexplode(inside).alias("nth", "body")))
+    counts = nodes.groupBy("scan_id", "file", "block").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("scan_id").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
+    here = Window.partitionBy("scan_id", "file", "block").orderBy("at", "nth")
+    placed = nodes.withColumn("own", F.row_number().over(here) - 1).join(starts, ["scan_id", "file", "block"])
+    return placed.select("scan_id", (F.col("start") + F.col("own")).alias("pos"), "body")
+
+
+_COMPONENT = "type string, name string, `group` string, version string, purl string, `bom-ref` string"
+
+
+def large_cyclonedx(spark: SparkSession, path: str, style: str = "inline") -> tuple[DataFrame, DataFrame]:
+    """Components and edges, as cyclonedx_components and cyclonedx_edges have them, of pretty documents of any size; documents
+    without components are an error when the components are read. In each list pos keeps the order of the document."""
+    nodes = settled(document_nodes(spark, path, style).withColumn("is_ref", F.col("body").rlike(r'^ {4,6}"ref"')))
+    found = nodes.groupBy("scan_id").agg(F.min("pos").alias("first"), F.min(F.when(F.col("is_ref"), F.col("pos"))).alias("refs"), F.count(F.when(~F.col("is_ref"), 1)).alias("components"))
+    object_ = F.concat(F.lit("{"), F.col("body"), F.lit("}"))
+    own = nodes.join(found, "scan_id").where(~F.col("is_ref") | (F.col("components") == 0))
+    checked = F.when(F.col("components") > 0, F.from_json(object_, _COMPONENT)).otherwise(F.raise_error(F.concat(F.lit("no components in "), F.col("scan_id"))))
+    listed = own.select("scan_id", F.when(F.col("pos") > F.col("refs"), F.col("pos") - F.col("refs")).otherwise(F.col("pos") - F.col("first")).cast("int").alias("pos"), checked.alias("c"))
+    components = listed.select("scan_id", "pos", "c.type", "c.name", F.col("c.group").alias("grp"), "c.version", "c.purl", F.col("c.bom-ref").alias("bom_ref"))
+    refs = nodes.where("is_ref").select("scan_id", F.from_json(object_, "ref string, dependsOn array<string>").alias("x"))
+    edges = refs.select("scan_id", F.col("x.ref").alias("parent_id"), F.posexplode("x.dependsOn").alias("ord", "child_id"))
+    return components, edges.select("scan_id", "parent_id", "child_id", F.col("ord").cast("long").alias("ord"))

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockbook.functions.scalars import blank_to_null
+from stockbook.shared import settled
 
+#: Up to so many first nodes of scans are broadcast.
+FEW_SCANS = 50_000
 TOOL = {"vendor": "stockbook", "name": "stockbook", "version": "0.1.0"}
 ABSENT = "array<struct<name: string, value: string>>"
 
@@ -44,6 +47,40 @@ def sbom_documents(components: DataFrame, edges: DataFrame, timestamp: str, pret
     return both.select("scan_id", F.to_json(doc, {"pretty": str(pretty).lower()}).alias("doc"))
 
 
+def document_lines(components: DataFrame, edges: DataFrame, timestamp: str) -> DataFrame:
+    """(scan_id, section, instance_id, tie, lines): the pretty text of sbom_documents in pieces that each end at a line's end. In
+    order of the first four, the lines of a scan are its document. Nodes stay rows of their own, so documents may be of any size.
+
+    Nodes without any id, which nothing can refer to, have no ref.
+    """
+    inner = lambda node: F.replace(F.to_json(node, {"pretty": "true"}), F.lit("\n"), F.lit("\n  "))
+    nodes = component_nodes(components).withColumn("section", F.lit(1)).select("scan_id", "section", "instance_id", inner(F.col("node")).alias("text"))
+    refs = dependency_nodes(components, edges).where("node.ref is not null").withColumn("section", F.lit(3)).select("scan_id", "section", "instance_id", inner(F.col("node")).alias("text"))
+    body = settled(nodes.unionByName(refs).withColumn("tie", F.monotonically_increasing_id()))
+    order = F.struct(F.col("instance_id").isNotNull(), "instance_id", "tie")
+    first = body.groupBy("scan_id", "section").agg(F.min(order).alias("first"))
+    # a text is "{", lines of their own, "  }": what stands before the first and after the last is part of the frame
+    lines = F.substr("text", F.lit(3), F.length("text") - 6)
+    first = first.withColumnRenamed("scan_id", "scan").withColumnRenamed("section", "part")
+    placed = body.join(F.broadcast(first) if first.count() <= FEW_SCANS else first, (F.col("scan_id") == F.col("scan")) & (F.col("section") == F.col("part")))
+    inside = placed.select("scan_id", "section", "instance_id", "tie", F.when(order == F.col("first"), lines).otherwise(F.concat(F.lit("  }, {\n"), lines)).alias("lines"))
+    tool = F.struct(*[F.lit(v).alias(k) for k, v in TOOL.items()])
+    head = F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.6").alias("specVersion"), F.lit(1).alias("version"), F.struct(F.lit(timestamp).alias("timestamp"), F.array(tool).alias("tools")).alias("metadata"))
+    opened = F.concat(F.regexp_replace(F.to_json(head, {"pretty": "true"}), "\n}$", ""), F.lit(',\n  "components" : [ {'))
+    scans = body.groupBy("scan_id").agg(F.bool_or(F.col("section") == 3).alias("refs"))
+    between = F.when(F.col("refs"), '  } ],\n  "dependencies" : [ {').otherwise('  } ],\n  "dependencies" : [ ]')
+    end = F.when(F.col("refs"), "  } ]\n}").otherwise("}")
+    frame = scans.select("scan_id", F.explode(F.array(*[F.struct(F.lit(k).alias("section"), x.alias("lines")) for k, x in ((0, opened), (2, between), (4, end))])).alias("x"))
+    null = F.lit(None).cast("string")
+    return inside.unionByName(frame.select("scan_id", "x.section", null.alias("instance_id"), F.lit(0).cast("long").alias("tie"), "x.lines"))
+
+
 def write_cyclonedx(components: DataFrame, edges: DataFrame, path: str, timestamp: str) -> None:
-    """One folder per scan below path."""
-    sbom_documents(components, edges, timestamp).withColumnRenamed("doc", "value").write.partitionBy("scan_id").text(path)
+    """One folder per scan below path; the text of its files, in order of their names, is the document.
+
+    The pieces of all scans are ranged over tasks together, so a large scan is written by many tasks and small ones share a task.
+    """
+    lines = document_lines(components, edges, timestamp)
+    keys = ["scan_id", "section", "instance_id", "tie"]
+    ranged = lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged.select("scan_id", F.col("lines").alias("value")).write.partitionBy("scan_id").text(path)
