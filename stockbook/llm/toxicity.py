@@ -7,7 +7,9 @@ md5 of doc_id), pattern voters for shouting, runs of marks and several hits, and
 counted in Spark. EM over these counts estimates the prior and each voter's rates given either class; what
 pairs of voters share beyond that are their correlations, and a voter's evidence is divided by one plus its
 positive correlations. A logistic classifier on votes and hashed letter runs is then trained on the posterior
-labels of at most TRAINED documents and scores every document.
+labels of all documents and scores every document: a hash of doc_id and text deals them out to shards of about SHARD, each is fitted
+in a task (the problem is convex), and the mean of the shards' weights by their documents, added up in Spark in fixed point, is the
+classifier. Equal rows meet in an aggregation first and count as often as they are there, so a shard holds no more than its share.
 
 Defined results: null and empty texts have no hits and get a score; labels with null doc_id or value are not
 learnt from; without labels there are no stem voters; repeated rows are scored alike; an empty table gives no
@@ -40,7 +42,7 @@ LEVELS = (0, 1, 2, 4, 8, 16, 32, 64, 128)
 PURITY, FLOOR, DOUBT = 0.9, 0.7, 3.0
 WHOLE = U(0x5851F42D4C957F2D)
 HASHED = 1024
-LABELLED, TRAINED = 8000, 8000
+LABELLED, SHARD, STEPS, FIXED = 8000, 8000, 400, 1 << 20
 ROUNDS = 20
 
 
@@ -253,46 +255,71 @@ def label_model(patterns: DataFrame) -> dict:
     return model | {"weights": 1 / (1 + np.where(corr > 0.1, corr, 0).sum(1)), "correlations": corr}
 
 
-def inputs(r: Runs, voters: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Votes, and the classifier's inputs: votes and shares of hashed letter runs."""
-    votes = cast_votes(r, *voters)
-    n = len(r.count)
-    cells = np.bincount(r.doc * HASHED + (r.hashes & U(HASHED - 1)).astype(np.int64), minlength=n * HASHED).reshape(n, HASHED)
-    return votes, np.concatenate([votes, cells / np.maximum(r.count, 1)[:, None]], axis=1).astype(np.float32)
-
-
-def train(x: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Logistic weights (last: bias) on soft labels, by full-batch Adam."""
+def train(x: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic weights (last: bias) on weighted soft labels, by full-batch Adam."""
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1).astype(np.float32)
     decay = np.full(x.shape[1], 1e-3, np.float32)
     decay[-1] = 0
-    p = p.astype(np.float32)
+    p, weight = p.astype(np.float32), (weight / weight.sum()).astype(np.float32)
 
     def gradient(w, _):
-        return [x.T @ (sigmoid(x @ w[0]) - p).astype(np.float32) / max(len(x), 1) + decay * w[0]]
+        return [x.T @ (weight * (sigmoid(x @ w[0]) - p).astype(np.float32)) + decay * w[0]]
+
+    return adam([np.zeros(x.shape[1], np.float32)], gradient, STEPS, 0.05)[0]
+
+
+def encoded(r: Runs, voters: tuple) -> tuple[list[bytes], list[bytes]]:
+    """Votes and counts of hashed letter runs of each text, as bytes: pairs of bucket and count, 16 bits each."""
+    votes = cast_votes(r, *voters)
+    cell, many = np.unique(r.doc * HASHED + (r.hashes & U(HASHED - 1)).astype(np.int64), return_counts=True)
+    pairs = np.stack([cell % HASHED, np.minimum(many, 65535)], axis=1).astype(np.uint16)
+    ends = np.searchsorted(cell, np.arange(len(r.count) + 1) * HASHED)
+    return [v.tobytes() for v in votes], [pairs[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def train_shard(model: dict):
+    """Of a shard's distinct documents (h, votes, cells, copies) the classifier's weights times its rows, in fixed point."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("h")
+        votes = np.frombuffer(b"".join(table.column("votes").to_pylist()), np.int8).reshape(-1, VOTERS)
+        cells = [np.frombuffer(c, np.uint16).reshape(-1, 2) for c in table.column("cells").to_pylist()]
+        rows = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+        pairs = np.concatenate(cells).astype(np.int64)
+        shares = np.zeros((len(cells), HASHED), np.float32)
+        shares[rows, pairs[:, 0]] = pairs[:, 1]
+        shares /= np.maximum(shares.sum(axis=1, keepdims=True), 1)
+        copies = table.column("copies").to_numpy().astype(np.float64)
+        line = train(np.concatenate([votes, shares], axis=1), posterior(votes, model), copies)
+        sent = np.round(line.astype(np.float64) * FIXED).astype(np.int64) * int(copies.sum())
+        return pa.table({"i": pa.array(np.arange(len(sent) + 1, dtype=np.int32)), "v": pa.array([*sent.tolist(), int(copies.sum())], pa.int64())})
 
-    return adam([np.zeros(x.shape[1], np.float32)], gradient, 400, 0.05)[0]
+    return run
 
 
-def fitted(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED, trained_rows: int = TRAINED) -> dict:
+def fitted(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED, shard: int = SHARD) -> dict:
     """Voters, label model and classifier."""
     words = np.sort(np.array([word_key(w) for w in LEXICON], U))
     voters = (words, *mined_stems(docs, labelled(labels, "toxic", labelled_rows)))
-    model = label_model(pattern_counts(docs, voters))
+    patterns = pattern_counts(docs, voters)
+    model = label_model(patterns)
     shared = docs.sparkSession.sparkContext.broadcast(voters)
 
     def run(batches):
         for batch in batches:
+            lo = 0
             for r in runs(batch.column("text")):
-                votes, x = inputs(r, shared.value)
-                yield pa.record_batch([pa.array([v.tobytes() for v in votes], pa.binary()), pa.array([y.tobytes() for y in x], pa.binary())], names=["votes", "x"])
-
-    first = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(trained_rows)
-    rows = sampled(docs, first).select("text").mapInArrow(run, "votes binary, x binary").collect()
-    rows.sort()
-    votes = np.frombuffer(b"".join(r["votes"] for r in rows), np.int8).reshape(-1, VOTERS)
-    x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(len(rows), VOTERS + HASHED)
-    return {"voters": voters, "labels": model, "line": train(x, posterior(votes, model))}
+                votes, cells = encoded(r, shared.value)
+                yield pa.record_batch([batch.column("h").slice(lo, len(votes)), pa.array(votes, pa.binary()), pa.array(cells, pa.binary())], names=["h", "votes", "cells"])
+                lo += len(votes)
+
+    shards = max(1, -(-(patterns.agg(F.sum("n")).first()[0] or 0) // shard))
+    rows = docs.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("h"), "text").mapInArrow(run, "h long, votes binary, cells binary")
+    distinct = rows.groupBy("h").agg(F.first(F.struct("votes", "cells")).alias("f"), F.count(F.lit(1)).alias("copies")).select("h", "f.votes", "f.cells", "copies", F.pmod("h", F.lit(shards)).alias("shard"))
+    sums = dict(distinct.groupBy("shard").applyInArrow(train_shard(model), "i int, v long").groupBy("i").agg(F.sum("v").alias("v")).collect())  # one row for each weight
+    size = VOTERS + HASHED + 1
+    line = np.array([sums.get(i, 0) for i in range(size)], np.float64) / FIXED / max(sums.get(size, 0), 1)
+    return {"voters": voters, "labels": model, "line": line.astype(np.float32)}
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
