@@ -49,7 +49,7 @@ def scan_manifests(manifests: DataFrame) -> Parsed:
     """Components and edges of manifests (scan_id, path, content) of all ecosystems; in each folder the first
     producer of an ecosystem that finds something counts."""
     known = [p for p in producers() if p.parse or p.kind in PARSERS]
-    routed = settled(classify_manifests(manifests, known).withColumn("kind", F.concat("ecosystem", F.lit(" "), "kind")))
+    routed = settled(classify_manifests(manifests, known).withColumn("kind", F.concat("ecosystem", F.lit(" "), "kind")), by="kind")
     all_ = _parsed(routed, {f"{p.ecosystem} {p.kind}": p.parse or PARSERS[p.kind] for p in known})
     counts = all_.components.groupBy("scan_id", F.col("src_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
     files = routed.select("scan_id", "path", "dir", "ecosystem", "priority").join(counts, ["scan_id", "path"])
@@ -71,7 +71,7 @@ def inventory(manifests: DataFrame, captured: DataFrame | None = None, listing:
         if listing is not None:
             captured = captured.join(applicable(listing, known), ["scan_id", "kind"], "left_semi").select(*captured.columns)
         tagged = captured.join(F.broadcast(_kinds(captured.sparkSession, known)), "kind")  # one row for each resolver
-        found = _parsed(settled(tagged.select("scan_id", "path", "kind", "content")), {r.kind: r.parse for r in known})
+        found = _parsed(settled(tagged.select("scan_id", "path", "kind", "content"), by="kind"), {r.kind: r.parse for r in known})
         by_folder = F.col("ecosystem").isin(*[r.ecosystem for r in known if r.per_folder])
         own, other = out.components, found.components
         both = prefer_resolved(own.where(~by_folder), other.where(~by_folder)).unionByName(prefer_resolved_folders(own.where(by_folder), other.where(by_folder)))
@@ -122,11 +122,11 @@ def parse_errors(manifests: DataFrame, captured: DataFrame | None = None) -> Dat
         found.append(broken(there).select("scan_id", "path", F.lit(kind).alias("kind"), F.lit(reason).alias("reason")))
         found.append(files.where("content is null").select("scan_id", "path", "kind", F.lit("no content").alias("reason")))
 
-    routed = settled(classify_manifests(manifests).select(*names))
+    routed = settled(classify_manifests(manifests).select(*names), by="kind")
     for p in {p.kind: p for p in producers()}.values():
         judge(routed, p.kind, p.broken)
     if captured is not None:
-        output = settled(captured.select(*names))
+        output = settled(captured.select(*names), by="kind")
         for r in resolvers():
             judge(output, r.kind, r.broken if (r.kind not in BROKEN) else None)
     return reduce(lambda a, b: a.unionByName(b), found)

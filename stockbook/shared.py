@@ -47,10 +47,21 @@ def clear_settled(spark: SparkSession, owner: str = "") -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, by: str | None = None) -> DataFrame:
     """The rows as Parquet in the shared folder, read back: what reads them twice computes them once, and rounds of a
-    loop start from files that outlive executors. They stay there until clear_settled, as results are lazy."""
+    loop start from files that outlive executors. They stay there until clear_settled, as results are lazy.
+
+    by: a column of few values, each of which gets a folder, so that what reads one value reads no others' files.
+    """
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     _SETTLED.setdefault(_OWNER[-1], []).append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = out.select(*df.columns) if by else out
+    out.settled_at = path
+    return out
+
+
+def once(df: DataFrame) -> DataFrame:
+    """The frame itself if it is one of settled's, else settled."""
+    return df if hasattr(df, "settled_at") else settled(df)
