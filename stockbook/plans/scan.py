@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockbook.functions.scalars import parent_dir
-from stockbook.operators.maven import broken_pom, parse_mvn_tree, parse_pom, pom_components, tree_lines
+from stockbook.operators.maven import broken_poms, parse_mvn_tree, parse_pom, pom_components, tree_lines
 from stockbook.operators.merge import merge_components, merge_edges
 from stockbook.operators.parse_cargo import broken_locks, parse_cargo_lock, parse_cargo_metadata
 from stockbook.operators.parse_npm import broken_trees, parse_npm_ls, parse_package_json, parse_package_lock
@@ -93,10 +93,6 @@ def _no_json(files: DataFrame) -> DataFrame:
     return files.where(F.col("content").isNull() | F.try_parse_json(text).isNull() | ~F.startswith(F.ltrim(text), F.lit("{"))).select("scan_id", "path")
 
 
-def _no_pom(files: DataFrame) -> DataFrame:
-    return files.where(broken_pom(F.col("content"))).select("scan_id", "path")
-
-
 def _no_tree_line(files: DataFrame) -> DataFrame:
     """Text of a tool that has no line of a tree, such as that of a failed run."""
     return files.select("scan_id", "path").join(tree_lines(files).select("scan_id", "path").distinct(), ["scan_id", "path"], "left_anti")
@@ -104,7 +100,7 @@ def _no_tree_line(files: DataFrame) -> DataFrame:
 
 #: What can't be read of each built-in kind, and the reason that is given.
 BROKEN = {
-    "Cargo.lock": (broken_locks, "no TOML"), "package-lock.json": (_no_json, "no JSON object"), "package.json": (_no_json, "no JSON object"), "pom.xml": (_no_pom, "no POM"), "requirements.txt": (_null, "no content"),
+    "Cargo.lock": (broken_locks, "no TOML"), "package-lock.json": (_no_json, "no JSON object"), "package.json": (_no_json, "no JSON object"), "pom.xml": (broken_poms, "no POM"), "requirements.txt": (_null, "no content"),
     "cargo-metadata": (_no_json, "no JSON object"), "npm-ls": (broken_trees, "no JSON object"), "pip-inspect": (_no_json, "no JSON object"), "mvn-tree": (_no_tree_line, "no tree"),
 }
 

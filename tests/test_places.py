@@ -121,6 +121,18 @@ def test_the_childs_properties_fill_the_entry(spark):
     assert len({r["instance_id"] for r in rows}) == 2
 
 
+def test_what_no_reader_takes_is_an_error_row(spark):
+    """Whatever either reader of XML refuses is reported, and all else has its components."""
+    from stockbook.plans import scan
+
+    body = "<project><artifactId>x</artifactId><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId></dependency></dependencies></project>"
+    heads = ["", "\ufeff", "\n", "<?xml version='1.0'?>", "<?xml version='1.1'?>", "<?xml version='1.0' encoding='ISO-8859-1'?>", "<?xml version='1.0' encoding='UTF-16'?>", "<?xml version='1.0' encoding='odd'?>", "<!DOCTYPE project SYSTEM 'x.dtd'>", "<!-- c -->", "text", "<x/>"]
+    files = manifests(spark, *[(f"d{i}/pom.xml", h + body) for i, h in enumerate(heads)])
+    good = {r["src_path"] for r in maven.pom_components(maven.parse_pom(files)).collect()}
+    bad = {r["path"] for r in scan.parse_errors(files).collect()}
+    assert not good & bad and good | bad == {f"d{i}/pom.xml" for i in range(len(heads))} and "d3/pom.xml" in good
+
+
 def test_notes_of_tree_lines(spark):
     r = random.Random(8)
     lines = ["".join(r.choice("ab() ") for _ in range(r.randint(0, 12))) for _ in range(500)] + ["", "x (managed from 1; omitted) y (z", "a ) b ( c", "()", "(())"]
