@@ -88,15 +88,15 @@ def forward(net: dict, base: list[np.ndarray], near: np.ndarray, word: np.ndarra
     """Hidden layer, flat places of the words' digits among the logits, the logits of each digit after those before
     (words x DIGITS * DIGIT), and their exponentials."""
     e = net["e"]
-    h = e[near[:, 0]]
+    h = e.take(near[:, 0], axis=0)
     for k in (1, 2, 3):
-        h += e[near[:, k]]
+        h += e.take(near[:, k], axis=0)
     h = np.tanh(h + net["b"])
     z = h @ net["w"]
     z += net["c"]
     z[:, :DIGIT] += base[0][0]
     for k in range(1, DIGITS):
-        z[:, k * DIGIT : (k + 1) * DIGIT] += base[k][word >> (4 * (DIGITS - k))]
+        z[:, k * DIGIT : (k + 1) * DIGIT] += base[k].take(word >> (4 * (DIGITS - k)), axis=0)
     np.clip(z, -60, 60, out=z)
     digit = (word[:, None] >> np.arange(4 * (DIGITS - 1), -1, -4)) & (DIGIT - 1)
     place = (np.arange(len(word)) * (DIGITS * DIGIT))[:, None] + (np.arange(DIGITS) * DIGIT + digit)
@@ -107,21 +107,20 @@ def train_step(net: dict, squares: dict, base: list[np.ndarray], near: np.ndarra
     """One Adagrad step on the words of a batch."""
     h, place, _, d = forward(net, base, near, word)
     scale = np.float32(1 / len(word))
-    d *= np.repeat(scale / (d @ BY_DIGIT), DIGIT, axis=1)
+    each = d.reshape(-1, DIGITS, DIGIT)
+    each *= (scale / (d @ BY_DIGIT))[:, :, None]
     d.ravel()[place] -= scale
     back = (d @ net["w"].T) * (1 - h * h)
     flat = near.ravel()
     order = np.argsort(flat.astype(np.uint16), kind="stable")
-    new = np.diff(flat[order], prepend=-1) != 0
-    touched = flat[order][new]
-    row = np.empty(len(flat), np.int64)
-    row[order] = np.cumsum(new) - 1
+    sorted_ = flat[order]
+    first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    touched = sorted_[first]
     for name, g in {"b": back.sum(0), "w": h.T @ d, "c": d.sum(0)}.items():
         squares[name] += g * g
         net[name] -= rate * g / np.sqrt(squares[name] + 1e-8)
-    four = np.repeat(back, 4, axis=0).T
-    g = np.stack([np.bincount(row, c) for c in four], axis=1).astype(np.float32)
-    total = squares["e"][touched] + g * g
+    g = np.add.reduceat(back.take(order >> 2, axis=0), first, axis=0)  # each word has four neighbours
+    total = squares["e"].take(touched, axis=0) + g * g
     squares["e"][touched] = total
     net["e"][touched] -= rate * g / np.sqrt(total + 1e-8)
 
