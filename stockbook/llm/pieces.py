@@ -3,8 +3,8 @@
 The lattice of a text has a node at each byte of its UTF-8 form (one blank put before it) and an edge for
 each piece that stands there; characters without a piece of their own get edges of single byte pieces. As no
 piece spans a blank after a non-blank, the lattice is a chain of units (blanks and what follows them), and
-each distinct unit of a block of texts is built once: edges by walking prefixes of the vocabulary, then
-backward sums that give every edge its probability.
+each distinct unit of a block of texts is built once (those that a block holds twice once for many blocks): edges by
+walking prefixes of the vocabulary, then backward sums that give every edge its probability.
 
 Sampling is a perturbed A* search. The first segmentation follows the edges' probabilities; its perturbed
 score is a Gumbel variable. What is left of all segmentations falls into cells: those that share the pieces
@@ -33,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockbook.llm.common import lean_batches, table
-from stockbook.llm.hashing import U, blocks, mixed, powers, prefix_sums, views
+from stockbook.llm.hashing import BYTES, U, blocks, mixed, powers, prefix_sums, views
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SLOTS = 20
 #: Bytes of texts that are searched side by side, and steps of a path that are looked at first.
-BLOCK, HEAD = 1 << 18, 160
+BLOCK, HEAD = 1 << 19, 160
+#: Edges of lattices that a task keeps for later blocks, 32 bytes each.
+EDGES = 1 << 21
 MARK = "▁".encode()
 
 
@@ -74,11 +76,13 @@ def vocabulary(path: str = MODEL) -> dict:
     sums = prefix_sums(flat)
     hashes = keyed((sums[ends[1:]] - sums[ends[:-1]]) * powers(len(flat) + 1)[1][ends[:-1]])
     place = np.argsort(hashes)
-    return {
+    v = {
         "text": np.frombuffer(b"".join(texts), np.uint8), "at": np.cumsum([0, *map(len, texts)]), "score": scores, "bytes": bytes_,
         "hashes": hashes[place], "piece": np.array([known.get(s, -1) for s in starts], np.int32)[place],
         "slot": np.searchsorted(hashes[place], np.append(np.arange(1 << SLOTS, dtype=U) << U(64 - SLOTS), U(2**64 - 1))),
     }
+    pairs = (BYTES[:, None] + BYTES[None, :] * powers(1)[0][1]).ravel()
+    return v | {"one": known_starts(v, keyed(BYTES)), "two": known_starts(v, keyed(pairs))}
 
 
 def known_starts(v: dict, h: np.ndarray) -> np.ndarray:
@@ -105,71 +109,128 @@ def keyed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> U(32))) * U(0xBF58476D1CE4E5B9)
 
 
+STEP = U(0xD6E8FEB86659FD93)
+
+
+def roomy(a: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n entries at least."""
+    if len(a) >= n:
+        return a
+    out = np.empty(max(n, len(a) * 3 // 2), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
 class Lattice:
-    """The lattices of units that stand one after another in data[offsets]; node = place + number of the unit."""
+    """The lattices of the units of a block; those of units that a block holds twice are kept for later ones, until there are `most` edges.
 
-    def __init__(self, v: dict, data: np.ndarray, offsets: np.ndarray) -> None:
-        n, units = len(data), len(offsets) - 1
-        unit = np.repeat(np.arange(units), np.diff(offsets))
-        stop = offsets[1:][unit]
+    Node 0 is the end of every unit. The others are numbered as they come, those of one call by the bytes that are
+    left to their end, so each backward step reads and writes a range of nodes and a range of edges.
+    """
+
+    def __init__(self, v: dict, most: int = EDGES) -> None:
+        self.v, self.most = v, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.kept, self.hashes, self.numbers = (0, 1, 0), np.zeros(0, U), np.zeros(0, np.int64)
+        self.start, self.first, self.step = np.zeros(0, np.int64), np.zeros(2, np.int64), np.zeros(1, U)
+        self.piece, self.to, self.source = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.log_prob, self.prob = np.zeros(0), np.zeros(0)
+
+    def starts(self, data: np.ndarray, at: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The first node of each unit data[at:ends]; those that aren't kept are built."""
+        if self.kept[2] > self.most or len(self.piece) > 4 * self.most:
+            self.clear()
+        count, self.nodes, self.edges = self.kept
+        self.start = self.start[:count]
+        kinds, one, kind, many = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        place = np.searchsorted(self.hashes, kinds)
+        old = np.flatnonzero(place < len(self.hashes))
+        old = old[self.hashes[place[old]] == kinds[old]]
+        number = np.full(len(kinds), -1)
+        number[old] = self.numbers[place[old]]
+        twice, once = np.flatnonzero((number < 0) & (many > 1)), np.flatnonzero((number < 0) & (many == 1))
+        for fresh in (twice, once):
+            number[fresh] = len(self.start) + np.arange(len(fresh))
+            if len(fresh):
+                size = (ends - at)[one[fresh]]
+                inner = np.cumsum(size) - size
+                self.build(data[np.repeat(at[one[fresh]] - inner, size) + np.arange(size.sum())], np.append(inner, size.sum()))
+            if fresh is twice:
+                self.kept = len(self.start), self.nodes, self.edges
+        self.hashes, self.numbers = np.insert(self.hashes, place[twice], kinds[twice]), np.insert(self.numbers, place[twice], number[twice])
+        return self.start[number][kind]
+
+    def build(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        v, n, size = self.v, len(data), np.diff(offsets)
+        spot = np.arange(n) + np.repeat(np.arange(len(size)), size)  # one more place for the end of each unit
+        left = np.repeat(offsets[1:], size) - np.arange(n)
+        order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
+        node = np.empty(n, np.int64)
+        node[order] = np.arange(1, n + 1)
+        target = np.zeros(n + len(size), np.int64)
+        target[spot] = node
         sums, (_, down) = prefix_sums(data), powers(n + 1)
         lead = CHARACTER[data]
         named = np.zeros(n, bool)
-        sources, pieces, lengths = [], [], []
-        place, size = np.arange(n), 1
+        groups, place, length = [], np.arange(n), 1
         while len(place):
-            place = place[place + size <= stop[place]]
-            at = known_starts(v, keyed((sums[place + size] - sums[place]) * down[place]))
-            place, at = place[at >= 0], at[at >= 0]
-            piece = v["piece"][at]
+            place = place[left[place] >= length]
+            if length == 1:
+                at = v["one"][data]
+            elif length == 2:
+                at = v["two"][data[place].astype(np.int64) << 8 | data[place + 1]]
+            else:
+                at = known_starts(v, keyed((sums[place + length] - sums[place]) * down[place]))
+            known = at >= 0
+            place = place[known]
+            piece = v["piece"][at[known]]
             hit = piece >= 0
-            sources.append(place[hit] + unit[place[hit]])
-            pieces.append(piece[hit])
-            lengths.append(size)
-            named[place[hit & (lead[place] == size)]] = True
-            size += 1
-        bare = np.flatnonzero((lead > 0) & ~named)
-        inside = np.concatenate([bare + k for k in range(4)])[np.concatenate([lead[bare] > k for k in range(4)])] if len(bare) else bare
-        inside = inside[inside < n]
-        groups = [(inside + unit[inside], v["bytes"][data[inside]], 1), *zip(sources, pieces, lengths, strict=True)]
-        self.first = np.zeros(n + units + 1, np.int64)
-        degree = np.zeros(n + units, np.int32)
-        for node, _, _ in groups:
-            degree[node] += 1
-        np.cumsum(degree, out=self.first[1:])
-        total = int(self.first[-1])
-        self.piece, self.to = np.zeros(total, np.int32), np.zeros(total, np.int64)
-        filled = self.first[1:].copy()
-        for node, piece, length in groups:  # each node once in a group: the longest piece comes first
-            filled[node] -= 1
-            at = filled[node]
-            self.piece[at], self.to[at] = piece, node + length
-        self.start, self.end = offsets[:-1] + np.arange(units), offsets[1:] + np.arange(units)
-        score = v["score"][self.piece]
-        log_sum = np.zeros(n + units)
-        left = stop - np.arange(n)
-        order = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(1, (left.max() if n else 0) + 2))
-        self.log_prob, self.prob = np.zeros(total), np.zeros(total)
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            nodes = order[a:b] + unit[order[a:b]]
-            count = degree[nodes]
-            nodes, count = nodes[count > 0], count[count > 0]
-            seg = np.cumsum(count) - count
-            edges = np.repeat(self.first[nodes] - seg, count) + np.arange(count.sum())
-            if len(seg):
-                x = score[edges] + log_sum[self.to[edges]]
+            here = place[hit]
+            groups.append((here, piece[hit], length))
+            named[here[lead[here] == length]] = True
+            length += 1
+        bare = np.flatnonzero(~named)  # characters without a piece, and all bytes inside characters
+        groups.insert(0, (bare, v["bytes"][data[bare]], 1))
+        nodes = [node[place] for place, _, _ in groups]
+        degree = np.zeros(n + 1, np.int64)
+        for x in nodes:
+            degree[x] += 1
+        first = np.concatenate([[0], np.cumsum(degree)])
+        total = int(first[-1])
+        pieces, to = np.empty(total, np.int32), np.empty(total, np.int64)
+        filled = first[1:].copy()
+        for x, (place, piece, length) in zip(nodes, groups, strict=True):  # each node once in a group: the longest piece comes first
+            at = filled[x] - 1
+            filled[x] = at
+            pieces[at], to[at] = piece, target[spot[place] + length]
+        del groups, nodes, target, spot, sums, lead, named, filled, place, known, hit, here, piece, x, at
+        source = np.repeat(np.arange(n + 1), degree)
+        log_prob, prob = v["score"][pieces], np.empty(total)
+        log_sum, mass = np.zeros(n + 1), np.ones(n + 1)
+        levels = np.cumsum(np.bincount(left)) + 1
+        for a, b in zip(levels[:-1].tolist(), levels[1:].tolist(), strict=True):
+            lo, hi = first[a], first[b]
+            x, seg, row = log_prob[lo:hi], first[a:b] - lo, source[lo:hi] - a
+            if a < b:
+                x += log_sum.take(to[lo:hi])
                 high = np.maximum.reduceat(x, seg)
-                share = np.exp(x - np.repeat(high, count))
-                mass = np.add.reduceat(share, seg)
-                log_sum[nodes] = high + np.log(mass)
-                self.prob[edges] = share / np.repeat(mass, count)
-                self.log_prob[edges] = x - np.repeat(log_sum[nodes], count)
-        self.last = self.first[1:] - 1
-        self.source = np.repeat(np.arange(n + units, dtype=np.int32), degree)
-
-
-STEP = U(0xD6E8FEB86659FD93)
+                share = np.exp(x - high.take(row), out=prob[lo:hi])
+                mass[a:b] = np.add.reduceat(share, seg)
+                log_sum[a:b] = high + np.log(mass[a:b])
+        prob /= mass.take(source)
+        log_prob -= log_sum.take(source)
+        shift, edges = self.nodes - 1, self.edges
+        self.nodes, self.edges = self.nodes + n, edges + total
+        self.first, self.step = roomy(self.first, self.nodes + 1), roomy(self.step, self.nodes)
+        self.first[shift + 1 : self.nodes + 1] = first[1:] + edges
+        self.step[shift + 1 : self.nodes] = (np.arange(n) - np.repeat(offsets[:-1], size)).astype(U)[order] * STEP
+        self.start = np.concatenate([self.start, node[offsets[:-1]] + shift])
+        for name, x in (("piece", pieces), ("to", to + shift * (to > 0)), ("source", source + shift), ("log_prob", log_prob), ("prob", prob)):
+            own = roomy(getattr(self, name), self.edges)
+            own[edges : self.edges] = x
+            setattr(self, name, own)
 
 
 def drawn(state: np.ndarray, salt: int) -> np.ndarray:
@@ -199,43 +260,40 @@ def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 class Block:
     """Perturbed A* search over some texts, all side by side."""
 
-    def __init__(self, v: dict, texts: list[bytes], seeds: np.ndarray) -> None:
-        self.seeds = seeds
+    def __init__(self, v: dict, texts: list[bytes], seeds: np.ndarray, lattice: Lattice | None = None) -> None:
+        self.seeds, self.lattice = seeds, lattice or Lattice(v)
         data, self.offsets, at, ends, hashes = units(texts)
-        _, one, kind = np.unique(hashes, return_index=True, return_inverse=True)
-        size = (ends - at)[one].astype(np.int32)
-        inner = np.cumsum(size, dtype=np.int32) - size
-        places = np.repeat(at[one].astype(np.int32) - inner, size) + np.arange(size.sum(), dtype=np.int32)
-        self.lattice, self.kind = Lattice(v, data[places], np.append(inner, size.sum())), kind
+        self.start = self.lattice.starts(data, at, ends, hashes)
         self.units = np.searchsorted(at, self.offsets)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.units))
-        g = self.lattice
-        shift = at - self.offsets[self.text] - g.start[self.kind]  # from nodes to places in the text
-        self.base = seeds[self.text] + shift.astype(U) * STEP
+        self.base = seeds[self.text] + (at - self.offsets[self.text]).astype(U) * STEP
 
     def noise(self, occ: np.ndarray, node: np.ndarray, salt: int) -> np.ndarray:
-        return drawn(self.base[occ] + node.astype(U) * STEP, salt)
+        return drawn(self.base.take(occ) + self.lattice.step.take(node), salt)
 
     def walk(self, occ: np.ndarray, node: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
         """Edges sampled from the given nodes to the ends of their units: (occurrence, edge), in order."""
         g, occs, edges = self.lattice, [], []
         while len(occ):
             u = self.noise(occ, node, salt)
-            pick, last = g.first[node], g.last[node]
-            mass = g.prob[pick]
-            todo = np.flatnonzero((u >= mass) & (pick < last))
+            pick = g.first.take(node)
+            mass = g.prob.take(pick)
+            todo = np.flatnonzero(u >= mass)
+            at, last, u, mass = pick[todo], g.first.take(node[todo] + 1) - 1, u[todo], mass[todo]
             while len(todo):
-                pick[todo] += 1
-                mass[todo] += g.prob[pick[todo]]
-                todo = todo[(u[todo] >= mass[todo]) & (pick[todo] < last[todo])]
+                at += at < last
+                pick[todo] = at
+                mass += g.prob.take(at)
+                more = np.flatnonzero((u >= mass) & (at < last))
+                todo, at, last, u, mass = todo[more], at[more], last[more], u[more], mass[more]
             occs.append(occ)
             edges.append(pick)
-            node = g.to[pick]
-            going = node != g.end[self.kind[occ]]
+            node = g.to.take(pick)
+            going = np.flatnonzero(node)
             occ, node = occ[going], node[going]
         turn = np.repeat(np.arange(len(occs)), [len(x) for x in occs])
         occ, edge = np.concatenate([*occs, occ]), np.concatenate([*edges, occ])
-        count = np.bincount(occ, minlength=len(self.kind))
+        count = np.bincount(occ, minlength=len(self.start))
         out = np.empty(len(edge), np.int64)
         out[(np.cumsum(count) - count)[occ] + turn] = edge
         return np.repeat(np.arange(len(count)), count), out
@@ -259,7 +317,7 @@ class Block:
             before = np.concatenate([np.cumsum(log_prob[a : a + n]) for a, n in zip(seg, size, strict=True)] or [log_prob]) - log_prob
             source = g.source[edge[at]]
             with np.errstate(divide="ignore"):  # the log share of a node's other edges
-                rest = np.where(g.last[source] > g.first[source], np.log(np.maximum(-np.expm1(log_prob), 0)), -np.inf)
+                rest = np.where(g.first[source + 1] - g.first[source] > 1, np.log(np.maximum(-np.expm1(log_prob), 0)), -np.inf)
             step = at - first[rows][row]
             rest = np.where(step == special[rows][row], left[rows][row], rest)
             rest = np.where(step < special[rows][row], -np.inf, rest)
@@ -292,7 +350,7 @@ class Block:
         g, n = self.lattice, len(self.offsets) - 1
         every = np.arange(n)
         score = -np.log(-np.log(uniform(self.seeds, np.zeros(n), 1)))
-        occ, edge = self.walk(np.arange(len(self.kind)), g.start[self.kind], 2)
+        occ, edge = self.walk(np.arange(len(self.start)), self.start, 2)
         special, left = np.full(n, -1), np.full(n, -np.inf)
         taken = np.full((n, k + 1), -1)
         paths, live = [], every
@@ -336,12 +394,12 @@ class Block:
                 kept = np.repeat(p["first"][own] - (np.cumsum(step[own]) - step[own]), step[own]) + np.arange(step[own].sum())
                 here = p["occ"][at]
                 pieces += [(p["occ"][kept], p["edge"][kept]), (here, chosen)]
-                follow = np.zeros(len(self.kind), bool)
+                follow = np.zeros(len(self.start), bool)
                 size = self.units[own + 1] - here - 1
                 follow[np.repeat(here + 1 - (np.cumsum(size) - size), size) + np.arange(size.sum())] = True
-                going = g.to[chosen] != g.end[self.kind[here]]
+                going = g.to[chosen] > 0
                 rest_occ = np.flatnonzero(follow)
-                tail = self.walk(np.concatenate([here[going], rest_occ]), np.concatenate([g.to[chosen][going], g.start[self.kind[rest_occ]]]), 2 * rank + 2)
+                tail = self.walk(np.concatenate([here[going], rest_occ]), np.concatenate([g.to[chosen][going], self.start[rest_occ]]), 2 * rank + 2)
                 pieces.append(tail)
             score = np.where(best > -np.inf, best, -np.inf)
             taken = taken_
@@ -381,12 +439,13 @@ def encode(docs: DataFrame, key: str = "doc_id", k: int = SAMPLES, path: str = M
 
     def run(batches):
         v = shared.value
+        lattice = Lattice(v)
         for batch in batches:
             data, offsets = views(batch.column(1))
             keys = batch.column(0).fill_null(0).to_numpy().astype(np.int64)
             seeds = mixed(keys.view(U) * U(0x9E3779B97F4A7C15) + mixed(salt))
             for lo, hi in blocks(offsets, BLOCK):
-                b = Block(v, [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(lo, hi)], seeds[lo:hi])
+                b = Block(v, [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(lo, hi)], seeds[lo:hi], lattice)
                 for rank, p in enumerate(b.search(k), 1):
                     live = p["live"]
                     with np.errstate(all="ignore"):

@@ -195,6 +195,33 @@ def test_encode_samples_in_the_right_order():
     assert cells > 3 and chi < cells + 5 * math.sqrt(2 * cells)
 
 
+def test_lattices_are_kept(monkeypatch):
+    """Units that a block holds twice are built once for all blocks, and what is kept makes no difference to the samples."""
+    from stockbook.llm.hashing import U, mixed
+    from stockbook.llm.pieces import Block, Lattice, vocabulary
+
+    built, build = [], Lattice.build
+    monkeypatch.setattr(Lattice, "build", lambda self, data, offsets: (built.append(len(data)), build(self, data, offsets))[1])
+    texts = [" aé the the longer words once".encode(), b"the" * 40 + b" the the", "größer größer 漢字 漢字 😀".encode(), b"", "  \xff漢".encode() + b"\xe6 \x80\xff the"]
+    seeds, v = mixed(np.arange(5, dtype=U) * U(31)), vocabulary()
+
+    def samples(lattice, i, j):
+        b = Block(v, texts[i:j], seeds[i:j], lattice)
+        found = [(p["live"].tolist(), p["first"].tolist(), b.lattice.piece[p["edge"]].tolist(), p["score"].tolist(), p["log_prob"].tolist()) for p in b.search(3)]
+        return found, b.threshold.tolist()
+
+    want = [samples(Lattice(v), i, j) for i, j in ((0, 2), (1, 5), (0, 5))]
+    for most in (0, 40, 1 << 20):
+        kept = Lattice(v, most)
+        for _ in range(2):
+            assert [samples(kept, i, j) for i, j in ((0, 2), (1, 5), (0, 5))] == want
+    built.clear()
+    Block(v, [b"all of this all of this"] * 3, seeds[:3], kept)
+    assert sum(built) == len(" all of this")
+    Block(v, [b"this of all once"], seeds[:1], kept)
+    assert sum(built) == len(" all of this") + len(" once")
+
+
 def test_encode_and_decode(spark, docs):
     from stockbook.llm.pieces import decode, encode
 
