@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockbook.functions.scalars import blank_to_null
-from stockbook.shared import settled
+from stockbook.shared import clear_settled, owned_by, settled, shuffles_removed
 
 #: Up to so many first nodes of scans are broadcast.
 FEW_SCANS = 50_000
+FILE_PIECES = 500_000
 TOOL = {"vendor": "stockbook", "name": "stockbook", "version": "0.1.0"}
 ABSENT = "array<struct<name: string, value: string>>"
 
@@ -75,12 +78,16 @@ def document_lines(components: DataFrame, edges: DataFrame, timestamp: str) -> D
     return inside.unionByName(frame.select("scan_id", "x.section", null.alias("instance_id"), F.lit(0).cast("long").alias("tie"), "x.lines"))
 
 
-def write_cyclonedx(components: DataFrame, edges: DataFrame, path: str, timestamp: str) -> None:
+def write_cyclonedx(components: DataFrame, edges: DataFrame, path: str, timestamp: str, compression: str | None = None) -> None:
     """One folder per scan below path; the text of its files, in order of their names, is the document.
 
     The pieces of all scans are ranged over tasks together, so a large scan is written by many tasks and small ones share a task.
+    compression is that of Spark's writer of text (gzip, ...); files then hold at most FILE_PIECES pieces, as such a file is read by one task.
     """
-    lines = document_lines(components, edges, timestamp)
-    keys = ["scan_id", "section", "instance_id", "tie"]
-    ranged = lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ranged.select("scan_id", F.col("lines").alias("value")).write.partitionBy("scan_id").text(path)
+    keys, owner = ["scan_id", "section", "instance_id", "tie"], f"write_cyclonedx-{uuid.uuid4().hex}"
+    with owned_by(owner), shuffles_removed(components.sparkSession):
+        lines = document_lines(components, edges, timestamp)
+        ranged = lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        out = ranged.select("scan_id", F.col("lines").alias("value")).write.partitionBy("scan_id")
+        (out.options(compression=compression, maxRecordsPerFile=FILE_PIECES) if compression else out).text(path)
+    clear_settled(components.sparkSession, owner)
